@@ -1,0 +1,40 @@
+import os
+import sys
+import time
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from sluice.session import local_session  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    os.environ.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    spark = local_session(4, 4, "tests", spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")))
+    spark.sparkContext.setLogLevel("ERROR")
+    yield spark
+    spark.stop()
+
+
+@pytest.fixture
+def folder(tmp_path):
+    """Write files with given bytes (and ages in seconds); returns a function."""
+    def write(files, ages=None, under="in"):
+        root = tmp_path / under
+        root.mkdir(exist_ok=True)
+        for name, content in files.items():
+            path = root / name
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_bytes(content)
+            if ages and name in ages:
+                then = time.time() - ages[name]
+                os.utime(path, (then, then))
+        return str(root)
+    return write
+
+
+def rows(df, *order):
+    """Rows as plain tuples, sorted."""
+    return sorted((tuple(r) for r in df.collect()), key=repr)
