@@ -46,12 +46,13 @@ def older_than(modified: Column, now, seconds: int) -> Column:
 
 def folder_uri(spark: SparkSession, directory: str, encoded: bool = False) -> str:
     """The folder as its file system names it, which is how listings start their paths."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
+    path = hadoop_path(directory)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
         raise ValueError(f"{directory} does not exist or is not a directory")
-    full = fs.makeQualified(path)
-    return full.toUri().toString() if encoded else full.toString()
+    plain = fs.makeQualified(path).toString()
+    return hadoop_path(plain).toUri().toString() if encoded else plain
 
 
 def list_files(spark: SparkSession, directory: str, recursive: bool = False) -> DataFrame:
@@ -61,12 +62,12 @@ def list_files(spark: SparkSession, directory: str, recursive: bool = False) ->
     """
     folder = folder_uri(spark, directory)
     files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         .load(escape_glob(directory))
         .select("path", F.substring_index("path", "/", -1).alias("file_name"),
                 F.col("modificationTime").alias("modified"), "length")
     )
-    # Folders named like key=value are read as partitions, although they are folders.
+    # Without recursive lookup, folders named like key=value would be read as partitions.
     return files if recursive else files.where(
         F.col("path") == F.concat(F.lit(folder + "/"), "file_name"))
 
@@ -129,7 +130,8 @@ def scan_files(spark: SparkSession, files) -> DataFrame:
         files = [row["path"] for row in files.select("path").toLocalIterator()]
     if not files:
         return spark.createDataFrame([], RECORD)
-    return with_record_number(delimited(spark.read, [escape_glob(f) for f in files]))
+    reader = spark.read.option("recursiveFileLookup", "true")
+    return with_record_number(delimited(reader, [escape_glob(f) for f in files]))
 
 
 def scan_directory(spark: SparkSession, directory: str, include_pattern: str = DEFAULT_PATTERN,
@@ -139,7 +141,8 @@ def scan_directory(spark: SparkSession, directory: str, include_pattern: str = D
     Spark evaluates filters on `_metadata` while listing, so other files are not opened.
     """
     folder = folder_uri(spark, directory, encoded=True)
-    records = delimited(spark.read, escape_glob(directory), folder).where(
+    reader = spark.read.option("recursiveFileLookup", "true")
+    records = delimited(reader, escape_glob(directory), folder).where(
         full_match(F.col("file_name"), include_pattern))
     if retention_seconds is not None:
         now = F.current_timestamp() if now is None else now

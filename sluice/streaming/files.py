@@ -20,6 +20,13 @@ def exact_glob(pattern: str) -> str | None:
     return "*" + found[1].replace("\\.", ".") if found else None
 
 
+def _partition_folders(spark, directory):
+    """True if the folder holds folders that the file source would take for partitions."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return any(status.isDirectory() and "=" in status.getPath().getName() for status in found)
+
+
 def stream_records(spark: SparkSession, directory: str, include_pattern: str = DEFAULT_PATTERN,
                    retention_seconds: int | None = DEFAULT_RETENTION_SECONDS, order: str = "asc",
                    max_files: int | None = None, delete_after_read: bool = False,
@@ -28,7 +35,7 @@ def stream_records(spark: SparkSession, directory: str, include_pattern: str = D
 
     Spark's own age limit is relative to the newest file and skips in silence, so it is set
     well beyond the retention. `delete_after_read` leaves the deletion to the file source, which
-    deletes all files that it lists; it is refused unless a glob lists the matching files only.
+    deletes all files that it lists; it is refused unless it lists the matching files only.
     """
     if order not in ("asc", "desc"):
         raise ValueError(f"order should be desc or asc, not {order!r}")
@@ -36,6 +43,8 @@ def stream_records(spark: SparkSession, directory: str, include_pattern: str = D
     glob = exact_glob(include_pattern)
     if delete_after_read and glob is None:
         raise ValueError(f"delete after read needs a pattern like ^.*\\.log$, not {include_pattern}")
+    if delete_after_read and _partition_folders(spark, directory):
+        raise ValueError(f"delete after read: {directory} holds key=value folders")
     age = 36_500 * DAY if retention_seconds is None else max(7 * DAY, 2 * retention_seconds)
     reader = spark.readStream.option("latestFirst", str(order == "desc").lower()).option(
         "maxFileAge", f"{age}s")
