@@ -1,0 +1,95 @@
+"""Counts, reconciliation, rates, batch numbers, snapshots."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from sluice.functions.ranking import row_numbers
+from sluice.operators.batching import assign_batches
+from sluice.operators.counters import (
+    count_by_interval, count_messages, delivery_alerts, mean_rates, reconcile, throughput,
+    write_counters)
+from sluice.operators.snapshots import snapshot_diff
+from sluice.schema import COUNTER
+from tests.conftest import rows
+
+
+def test_count_messages_keeps_odd_topics(spark):
+    msgs = spark.createDataFrame([("a:b", "1"), ("a:b", "2"), (None, "3"), ("", "4")],
+                                 "topic string, data string")
+    assert rows(count_messages(msgs, "p-Source")) == sorted(
+        [("p-Source", "a:b", 2), ("p-Source", None, 1), ("p-Source", "", 1)], key=repr)
+
+
+def timed(spark, *entries):
+    return spark.createDataFrame([(t, float(s)) for t, s in entries], "topic string, s double").select(
+        "topic", F.timestamp_micros((F.col("s") * 1e6).cast("bigint")).alias("ts"))
+
+
+def test_count_by_interval(spark):
+    msgs = timed(spark, ("a", 0), ("a", 59.999), ("a", 60), ("b", 200))
+    got = count_by_interval(msgs, "n", "ts").select(
+        "topic", F.unix_seconds("window_start"), "delta")
+    assert rows(got) == [("a", 0, 2), ("a", 60, 1), ("b", 180, 1)]
+
+
+def test_reconcile(spark):
+    read = spark.createDataFrame(
+        [("s", "a", 5), ("s", "b", 2), ("s", None, 4)], COUNTER)
+    written = spark.createDataFrame([("k", "b", 6), ("k", None, 4), ("k", "new", 1)], COUNTER)
+    got = reconcile(read, written, "a:b")
+    assert rows(got) == sorted(
+        [("b", 7, 6, 1), (None, 4, 4, 0), ("new", 0, 1, -1)], key=repr)
+    assert rows(delivery_alerts(got, 0.1).select("topic")) == [("b",)]
+    assert rows(delivery_alerts(got, 0.2)) == []
+
+
+def test_rates(spark):
+    msgs = timed(spark, ("a", 0), ("a", 4), ("a", 62), ("a", 899), ("b", 5))
+    got = {(r.topic, r.s): r for r in throughput(msgs, "ts").withColumn(
+        "s", F.unix_seconds("bucket_start")).collect()}
+    assert [(got["a", s].n, got["a", s].rate_1m * 60) for s in (0, 60, 895)] == [
+        (2, 2.0), (1, 1.0), (1, 1.0)]
+    assert got["a", 60].rate_5m * 300 == 3.0
+    assert got["a", 895].rate_15m * 900 == 4.0
+    assert rows(mean_rates(msgs, "ts")) == [("a", 4, 899.0, 4 / 899.0), ("b", 1, 0.0, None)]
+
+
+def test_write_counters(spark, tmp_path):
+    counts = spark.createDataFrame([("n", "a", 1)], COUNTER)
+    for _ in range(2):
+        write_counters(counts, str(tmp_path / "c"))
+    assert rows(spark.read.parquet(str(tmp_path / "c"))) == [("n", "a", 1)] * 2
+
+
+@pytest.mark.parametrize("lanes", [["lane"], [], ["lane", "second"]])
+def test_row_numbers_range_by_range(spark, lanes):
+    rng = random.Random(5)
+    # One lane holds most of the rows, and one value of the first order column a third.
+    data = [(None if rng.random() < .1 else "hot" if rng.random() < .7 else f"l{i % 5}",
+             i % 2, 50 if rng.random() < .33 else rng.randrange(100), i) for i in range(3000)]
+    df = spark.createDataFrame(data, "lane string, second int, v int, id int").repartition(7)
+    order = [F.col("v").desc(), F.col("id")]
+    one_task = row_numbers(df, lanes, order, "n")
+    by_range = row_numbers(df, lanes, order, "n", one_task_rows=10)
+    assert rows(one_task) == rows(by_range)
+    assert one_task.count() == 3000
+
+
+@pytest.mark.parametrize("ranking", [{}, {"one_task_rows": 10}])
+def test_assign_batches(spark, ranking):
+    entries = spark.range(250).select((F.col("id") % 2).alias("lane"), "id")
+    got = assign_batches(entries, ["lane"], ["id"], 100, **ranking)
+    assert rows(got.groupBy("lane", "batch_no").count()) == [
+        (0, 0, 100), (0, 1, 25), (1, 0, 100), (1, 1, 25)]
+
+
+def test_snapshot_diff(spark):
+    previous = spark.createDataFrame(
+        [("same", 1), ("grown", 1), ("lower", 2), ("gone", 1)], "key string, version bigint")
+    current = spark.createDataFrame(
+        [("same", 1), ("grown", 2), ("lower", 1), ("new", 1)], "key string, version bigint")
+    assert rows(snapshot_diff(previous, current, "key", "version")) == [
+        ("gone", "removed"), ("grown", "changed"), ("lower", "unchanged"), ("new", "added"),
+        ("same", "unchanged")]
