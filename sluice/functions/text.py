@@ -22,19 +22,23 @@ def decode_utf8(col) -> Column:
     return F.when(~F.is_valid_utf8(col), F.format_string("%s", col)).otherwise(col)
 
 
-def cut(col: Column, pattern: str) -> Column:
-    """Split at each match of a one-byte `pattern`; the pieces keep their bytes unchanged."""
-    bytewise = F.split(F.decode(col.cast("binary"), LATIN_1), pattern, -1)
-    return F.when(F.is_valid_utf8(col), F.split(col, pattern, -1)).otherwise(
-        F.transform(bytewise, lambda piece: F.encode(piece, LATIN_1).cast("string"))
-    )
+def cuttable(col: Column) -> Column:
+    """Text whose one-byte patterns cut as they would cut its bytes.
+
+    Malformed text is read as Latin-1, one character per byte, as Spark's string functions
+    would replace the malformed bytes. `piece_text` turns the pieces back.
+    """
+    return F.when(F.is_valid_utf8(col), col).otherwise(F.decode(col.cast("binary"), LATIN_1))
+
+
+def piece_text(piece, valid: Column) -> Column:
+    """The decoded text of a piece of `cuttable` text; `valid` tells if the whole was UTF-8."""
+    return F.when(valid, piece).otherwise(decode_utf8(F.encode(piece, LATIN_1).cast("string")))
 
 
-def without_empty_tail(pieces: Column) -> Column:
-    """Drop the last piece if it is empty: nothing follows the last terminator."""
-    return F.when(
-        F.element_at(pieces, -1) == "", F.slice(pieces, 1, F.size(pieces) - 1)
-    ).otherwise(pieces)
+def piece_bytes(piece, valid: Column) -> Column:
+    """The length of a piece of `cuttable` text in its original bytes."""
+    return F.when(valid, F.octet_length(piece)).otherwise(F.char_length(piece)).cast("bigint")
 
 
 def byte_length(col) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.joins import lookup_join
 from sluice.functions.text import (
-    LINE_END, byte_length, cut, decode_utf8, with_running_total, without_empty_tail)
+    LINE_END, byte_length, cuttable, piece_bytes, piece_text, with_running_total)
 
 BLOCK_LINES = 1 << 16
 
@@ -21,20 +21,26 @@ def split_lines(df: DataFrame, text_col: str, id_cols: list, keep_empty=True,
     Row-wise, without a shuffle, and so usable on streams. `end_offset` is the byte position
     just after the line's terminator, counted on the undecoded bytes.
     """
-    pieces = df.select(*id_cols, cut(F.col(text_col), LINE_END).alias("_pieces"),
-                       byte_length(text_col).alias("_size"))
-    pieces = pieces.withColumn("_pieces", without_empty_tail(F.col("_pieces")))
+    text, valid = F.col(text_col), F.col("_valid")
+    pieces = df.select(
+        *id_cols, F.is_valid_utf8(text).alias("_valid"), byte_length(text).alias("_size"),
+        F.split(cuttable(text), LINE_END, -1).alias("_pieces"))
+    # The outer form keeps Spark from adding a filter on the array, which would cut twice.
+    # There is always a piece; the last one is not a line if it is empty.
+    is_line = (F.col("pos") < F.col("_n") - 1) | (F.col("line") != "")
+    keep = [*id_cols, "_valid", "_size", F.size("_pieces").alias("_n")]
     if offsets:
-        pieces = with_running_total(
-            pieces.withColumn("_lengths", F.transform("_pieces", lambda p: byte_length(p) + 1)),
+        measured = with_running_total(pieces.withColumn(
+            "_lengths", F.transform("_pieces", lambda p: piece_bytes(p, valid) + 1)),
             "_lengths", "_ends")
         zipped = F.arrays_zip(F.col("_pieces").alias("line"), F.col("_ends").alias("end"))
-        lines = pieces.select(*id_cols, "_size", F.posexplode(zipped).alias("pos", "_at")).select(
-            *id_cols, "pos", decode_utf8(F.col("_at.line")).alias("line"),
-            F.least("_at.end", "_size").alias("end_offset"))
+        lines = measured.select(*keep, F.posexplode_outer(zipped).alias("pos", "_at")).withColumn(
+            "line", F.col("_at.line")).where(is_line)
+        end = [F.least("_at.end", "_size").alias("end_offset")]
     else:
-        lines = pieces.select(*id_cols, F.posexplode("_pieces").alias("pos", "line")).withColumn(
-            "line", decode_utf8("line"))
+        lines = pieces.select(*keep, F.posexplode_outer("_pieces").alias("pos", "line")).where(is_line)
+        end = []
+    lines = lines.select(*id_cols, "pos", piece_text(F.col("line"), valid).alias("line"), *end)
     return lines if keep_empty else lines.where(F.col("line") != "")
 
 

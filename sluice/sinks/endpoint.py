@@ -120,18 +120,16 @@ def deliver_to_endpoint(entries: DataFrame, client_factory: Callable, options: E
 
         def rows():
             for frame in frames:
-                waiting.append(frame)
+                waiting.append((frame, len(frame) - frame["message"].null_count))
                 for entry in zip(frame["category"].to_pylist(), frame["message"].to_pylist()):
                     if entry[1] is not None:
                         yield entry
 
         def finished():
             """Frames whose entries were all tried; batches may span frames."""
-            while waiting:
-                tried = pc.is_valid(waiting[0]["message"]).to_pylist()
-                if sum(tried) > len(errors):
-                    return
-                frame = waiting.popleft()
+            while waiting and waiting[0][1] <= len(errors):
+                frame, _ = waiting.popleft()
+                tried = pc.is_valid(frame["message"]).to_pylist()
                 column = pa.array([errors.popleft() if sent else None for sent in tried], pa.string())
                 yield pa.RecordBatch.from_arrays([*frame.columns, column], [*frame.schema.names, "error"])
 

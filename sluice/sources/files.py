@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.joins import lookup_join
 from sluice.functions.text import (
-    byte_length, cut, decode_utf8, with_running_total, without_empty_tail)
+    byte_length, cuttable, piece_bytes, piece_text, with_running_total)
 from sluice.operators.lines import resume_lines, tag_category
 from sluice.schema import RECORD
 
@@ -170,30 +170,40 @@ def lines_of(records: DataFrame, offsets: bool = False, exact: bool = True) -> D
         located = _with_file_ends(records)
     else:
         located = records.withColumn("_bare", F.lit(False)).withColumn("_marked", F.lit(False))
-    has_return = F.contains("value", F.lit("\r"))
+    valid = F.col("_valid")
     pieces = (
         located
         .withColumn("value", F.when(
             F.col("_marked"), F.concat(F.lit(MARK), "value")).otherwise(F.col("value")))
-        .withColumn("_pieces", F.when(
-            has_return, cut(F.col("value"), "\r")).otherwise(F.array("value")))
-        .withColumn("_pieces", F.when(
-            F.col("_bare") & has_return, without_empty_tail(F.col("_pieces"))
-        ).otherwise(F.col("_pieces")))
+        .withColumn("_valid", F.is_valid_utf8("value"))
+        .withColumn("_pieces", record_pieces(F.col("value")))
     )
     place = ["file_path", "block", "rec"]
+    keep = [*place, "_valid", (F.col("_bare") & (F.size("_pieces") > 1)).alias("_open_end"),
+            (F.size("_pieces") - 1).alias("_last")]
+    is_line = ~F.col("_open_end") | (F.col("piece") < F.col("_last")) | (F.col("line") != "")
     if not offsets:
-        return pieces.select(*place, F.posexplode("_pieces").alias("piece", "line")).withColumn(
-            "line", decode_utf8("line"))
+        lines = pieces.select(*keep, F.posexplode_outer("_pieces").alias("piece", "line"))
+        return lines.where(is_line).select(
+            *place, "piece", piece_text(F.col("line"), valid).alias("line"))
     measured = with_running_total(
         pieces.withColumn("_start", F.col("_end") - byte_length("value") - 1).withColumn(
-            "_lengths", F.transform("_pieces", lambda p: byte_length(p) + 1)),
+            "_lengths", F.transform("_pieces", lambda p: piece_bytes(p, valid) + 1)),
         "_lengths", "_ends")
     zipped = F.arrays_zip(F.col("_pieces").alias("line"), F.col("_ends").alias("end"))
-    return measured.select(
-        *place, "_start", "file_size", F.posexplode(zipped).alias("piece", "_at")
-    ).select(*place, "piece", decode_utf8(F.col("_at.line")).alias("line"),
-             F.least(F.col("_start") + F.col("_at.end"), "file_size").alias("end_offset"))
+    lines = measured.select(
+        *keep, "_start", "file_size", F.posexplode_outer(zipped).alias("piece", "_at")
+    ).withColumn("line", F.col("_at.line"))
+    return lines.where(is_line).select(
+        *place, "piece", piece_text(F.col("line"), valid).alias("line"),
+        F.least(F.col("_start") + F.col("_at.end"), "file_size").alias("end_offset"))
+
+
+def record_pieces(value: Column) -> Column:
+    """The pieces of a record between carriage returns: one, unless it has any."""
+    return F.when(
+        F.contains(value, F.lit("\r")), F.split(cuttable(value), "\r", -1)
+    ).otherwise(F.array(cuttable(value)))
 
 
 def _shape(total: Column, size: Column):

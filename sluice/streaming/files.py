@@ -5,11 +5,11 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.functions.text import cut, decode_utf8
+from sluice.functions.text import piece_text
 from sluice.operators.lines import split_lines, tag_category
 from sluice.sources.files import (
     DEFAULT_PATTERN, DEFAULT_RETENTION_SECONDS, delimited, escape_glob, folder_uri, full_match,
-    older_than)
+    older_than, record_pieces)
 
 DAY = 86_400
 
@@ -75,8 +75,8 @@ def stream_lines(spark: SparkSession, directory: str, category: str, whole_files
     if whole_files:
         lines = split_lines(records, "value", ["file_path"])
     else:
-        pieces = F.when(F.contains("value", F.lit("\r")), cut(F.col("value"), "\r")).otherwise(
-            F.array("value"))
-        lines = records.select("file_path", "block", F.explode(pieces).alias("line")).withColumn(
-            "line", decode_utf8("line"))
+        lines = records.select(
+            "file_path", F.is_valid_utf8("value").alias("_valid"),
+            F.explode_outer(record_pieces(F.col("value"))).alias("line")
+        ).select("file_path", piece_text(F.col("line"), F.col("_valid")).alias("line"))
     return tag_category(lines, category).select("topic", "data", "file_path")
