@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.session import scratch_dir
+
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
 
@@ -15,12 +17,19 @@ def fits_broadcast(df: DataFrame, max_rows=BROADCAST_ROWS, max_bytes=BROADCAST_B
     return seen["n"] <= max_rows and seen["size"] <= max_bytes
 
 
-def lookup_join(big: DataFrame, small: DataFrame, on, how="left", **limits) -> DataFrame:
+def lookup_join(big: DataFrame, small: DataFrame, on, how="left", store: bool = False,
+                **limits) -> DataFrame:
     """Join with a lookup table of unknown size.
 
     A lookup side that was measured to be small is broadcast, so that `big` is not shuffled.
-    Beyond that it is a shuffled join, where AQE splits a hot key of the `big` side.
+    Beyond that it is a shuffled join, where AQE splits a hot key of the `big` side. Measuring
+    evaluates the lookup side once more; `store` writes it down first, for a side that is
+    costly to compute.
     """
+    if store:
+        folder = scratch_dir(small.sparkSession, "lookup")
+        small.write.parquet(folder)
+        small = small.sparkSession.read.schema(small.schema).parquet(folder)
     return big.join(F.broadcast(small) if fits_broadcast(small, **limits) else small, on, how)
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.functions.times import epoch_micros
 from sluice.operators.convert import rename_topics
 
 MOVING_MINUTES = (1, 5, 15)
@@ -49,10 +50,9 @@ def delivery_alerts(reconciled: DataFrame, max_missing_ratio: float) -> DataFram
 
 def mean_rates(msgs: DataFrame, ts_col: str) -> DataFrame:
     """Messages per second of each topic, over the time between its first and last message."""
-    seconds = (F.unix_micros(F.max(F.col(ts_col).cast("timestamp")))
-               - F.unix_micros(F.min(F.col(ts_col).cast("timestamp")))) / 1e6
+    at = epoch_micros(msgs, ts_col)
     return msgs.groupBy("topic").agg(
-        F.count(F.lit(1)).alias("n"), seconds.alias("seconds")
+        F.count(F.lit(1)).alias("n"), ((F.max(at) - F.min(at)) / 1_000_000).alias("seconds")
     ).withColumn("mean_rate", F.try_divide("n", "seconds"))
 
 
@@ -64,10 +64,9 @@ def throughput(msgs: DataFrame, ts_col: str, bucket_seconds: int = 5) -> DataFra
     """
     start = F.window(ts_col, f"{bucket_seconds} seconds")["start"]
     buckets = msgs.groupBy("topic", start.alias("bucket_start")).agg(F.count(F.lit(1)).alias("n"))
-    second = F.unix_seconds(F.col("bucket_start").cast("timestamp"))
-    order = Window.partitionBy("topic").orderBy(second)
+    order = Window.partitionBy("topic").orderBy(epoch_micros(buckets, "bucket_start"))
     rates = [
-        (F.sum("n").over(order.rangeBetween(bucket_seconds - 60 * m, 0)) / (60 * m))
+        (F.sum("n").over(order.rangeBetween((bucket_seconds - 60 * m) * 1_000_000, 0)) / (60 * m))
         .alias(f"rate_{m}m") for m in MOVING_MINUTES
     ]
     return buckets.select("topic", "bucket_start", "n", *rates)

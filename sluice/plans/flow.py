@@ -100,9 +100,12 @@ class Pipeline:
 
 
 def from_conf(conf: dict, state: str, client_factory: Callable | None = None,
-              parts: dict | None = None, **file_options) -> Pipeline:
+              parts: dict | None = None, lanes: int | None = None, **file_options) -> Pipeline:
     """Build a pipeline from a configuration.
 
+    Thread numbers are not taken over: tasks read and send. `lanes` limits the senders to a
+    number, at the price of a shuffle.
+
     `parts` maps further part names to functions of the configuration, which return a source,
     a converter, a store or a sink. Failures are kept even where the configuration names the
     store that drops them, unless `parts` says otherwise.
@@ -127,8 +130,7 @@ def from_conf(conf: dict, state: str, client_factory: Callable | None = None,
             tuple(f"{host}:{port}" for host in hosts), get(c, "sink.scribe.batch.size"),
             get(c, "sink.scribe.max.send.interval"), get(c, "sink.scribe.retry.time"),
             get(c, "sink.scribe.worker.sleep"))
-        return EndpointSink(client_factory, options, f"{state}/outcomes",
-                            lanes=get(c, "sink.scribe.thread.number"))
+        return EndpointSink(client_factory, options, f"{state}/outcomes", lanes=lanes)
 
     def rename(c):
         mappings = parse_mappings(c.get("topic.mappings"))
@@ -160,3 +162,12 @@ def start_all(spark: SparkSession, pipelines: dict[str, Callable[[], Pipeline]],
             LOG.exception("%s does not start", name)
             errors[name] = failure
     return queries, errors
+
+
+def live_rates(query) -> dict:
+    """Rows of the last micro-batch and rows per second, as the running query reports them."""
+    last = query.lastProgress
+    if last is None:
+        return {"rows": 0, "arriving": 0.0, "processed": 0.0}
+    return {"rows": last["numInputRows"], "arriving": last["inputRowsPerSecond"],
+            "processed": last["processedRowsPerSecond"]}

@@ -12,7 +12,7 @@ import random
 import time
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -167,6 +167,13 @@ def endpoint_data_source(client_factory: Callable, format_name: str = "endpoint"
     return Endpoint
 
 
+def write_endpoint(entries: DataFrame, client_factory: Callable, options: EndpointOptions) -> None:
+    """Send all entries (category, message) of a batch, or fail."""
+    entries.sparkSession.dataSource.register(endpoint_data_source(client_factory))
+    given = asdict(options) | {"hosts": ",".join(options.hosts)}
+    entries.write.format("endpoint").mode("append").options(**given).save()
+
+
 def _options(given):
     numbers = {name: int(given[name]) for name in (
         "batch_size", "max_interval_ms", "retries", "all_down_wait_ms") if given.get(name)}

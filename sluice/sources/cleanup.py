@@ -7,14 +7,17 @@ from urllib.parse import urlsplit
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.functions.times import epoch_micros
+
 CHUNK = 1000
 
 
 def expire_older_than_days(listing: DataFrame, now, days: int = 6) -> DataFrame:
     """Files whose age in whole days is more than `days`; list with `recursive=True`."""
+    # A whole-day age of more than `days` is an age of `days` + 1 days or more.
     now = now if isinstance(now, Column) else F.lit(now)
-    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("modified").cast("timestamp"))
-    return listing.where(F.floor(age / F.lit(86_400_000_000)) > days)
+    age = epoch_micros(listing, "modified", now) - epoch_micros(listing, "modified")
+    return listing.where(age >= F.lit((days + 1) * 86_400_000_000))
 
 
 def inside(path: str, root: str) -> bool:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sluice.functions.joins import lookup_join
 from sluice.functions.text import (
     byte_length, cuttable, piece_bytes, piece_text, with_running_total)
+from sluice.functions.times import older_than
 from sluice.operators.lines import resume_lines, tag_category
 from sluice.schema import RECORD
 
@@ -37,13 +38,6 @@ def full_match(col: Column, pattern: str) -> Column:
     return col.rlike(rf"^(?:{pattern})\z")
 
 
-def older_than(modified: Column, now, seconds: int) -> Column:
-    """Strictly older: a file exactly at the limit is still live."""
-    now = now if isinstance(now, Column) else F.lit(now)
-    zero = F.lit(0)
-    return modified < now - F.make_dt_interval(zero, zero, zero, F.lit(seconds))
-
-
 def folder_uri(spark: SparkSession, directory: str, encoded: bool = False) -> str:
     """The folder as its file system names it, which is how listings start their paths."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
@@ -79,8 +73,11 @@ def match_files(listing: DataFrame, include_pattern: str = DEFAULT_PATTERN) -> D
 
 def split_expired(listing: DataFrame, now,
                   retention_seconds: int = DEFAULT_RETENTION_SECONDS):
-    """(live, expired) by age. Expired files are due for deletion, read or not."""
-    expired = older_than(F.col("modified"), now, retention_seconds)
+    """(live, expired) by age. Expired files are due for deletion, read or not.
+
+    A file exactly at the limit is still live.
+    """
+    expired = older_than(listing, "modified", now, retention_seconds)
     return listing.where(~expired), listing.where(expired)
 
 
@@ -90,7 +87,7 @@ def unread_files(listing: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def unfinished_files(ledger: DataFrame, listing: DataFrame) -> DataFrame:
-    """Ledger entries that are not completed and whose file still exists."""
+    """Ledger entries that are not completed and whose file still exists, to be read first."""
     return ledger.where(~F.col("completed")).join(listing, "path")
 
 
@@ -146,7 +143,7 @@ def scan_directory(spark: SparkSession, directory: str, include_pattern: str = D
         full_match(F.col("file_name"), include_pattern))
     if retention_seconds is not None:
         now = F.current_timestamp() if now is None else now
-        records = records.where(~older_than(F.col("modified"), now, retention_seconds))
+        records = records.where(~older_than(records, "modified", now, retention_seconds))
     return with_record_number(records)
 
 
@@ -228,7 +225,8 @@ def _with_file_ends(records):
     def at(column):
         return F.coalesce(place == F.col(column), F.lit(False))
 
-    return lookup_join(records, odd, "file_path", "left").withColumn(
+    # Stored, as the totals of all files are behind this table, which is nearly always empty.
+    return lookup_join(records, odd, "file_path", "left", store=True).withColumn(
         "_bare", at("_last")).withColumn("_marked", at("_first")).drop("_first", "_last")
 
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.text import piece_text
+from sluice.functions.times import older_than
 from sluice.operators.lines import split_lines, tag_category
 from sluice.sources.files import (
     DEFAULT_PATTERN, DEFAULT_RETENTION_SECONDS, delimited, escape_glob, folder_uri, full_match,
-    older_than, record_pieces)
+    record_pieces)
 
 DAY = 86_400
 
@@ -58,7 +59,7 @@ def stream_records(spark: SparkSession, directory: str, include_pattern: str = D
         full_match(F.col("file_name"), include_pattern))
     if retention_seconds is not None:
         records = records.where(
-            ~older_than(F.col("modified"), F.current_timestamp(), retention_seconds))
+            ~older_than(records, "modified", F.current_timestamp(), retention_seconds))
     return records.select("value", "file_path", "file_size", "block")
 
 

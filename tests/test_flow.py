@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sluice.operators.counters import reconcile
 from sluice.operators.deadletter import discard, load_letters
-from sluice.plans.flow import Pipeline, from_conf, start_all
+from sluice.plans.flow import Pipeline, from_conf, live_rates, start_all
 from sluice.plans.sources import FileSource
 from sluice.plans.spec import get, part_name, validate_spec
 from sluice.sinks.delivery import EndpointSink, FileSink
@@ -228,3 +228,13 @@ def test_pipelines_are_independent(spark, folder, tmp_path):
         query.awaitTermination()
     assert set(queries) == {"good", "other"} and set(errors) == {"bad", "wrong"}
     assert delivered(spark, tmp_path) == ["1", "1"]
+
+
+def test_live_rates(spark, folder, tmp_path):
+    flow = file_flow(folder(CONTENT, AGES), tmp_path)
+    query = flow.start(spark, processingTime="1 second")
+    try:
+        query.processAllAvailable()
+        assert set(live_rates(query)) == {"rows", "arriving", "processed"}
+    finally:
+        query.stop()

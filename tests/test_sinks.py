@@ -12,7 +12,7 @@ from sluice.operators.deadletter import (
 from sluice.schema import ENTRY, MESSAGE
 from sluice.sinks.delivery import EndpointSink, FileSink, deliver
 from sluice.sinks.endpoint import (
-    EndpointOptions, Sender, batches, deliver_to_endpoint, endpoint_data_source)
+    EndpointOptions, Sender, batches, deliver_to_endpoint, endpoint_data_source, write_endpoint)
 from sluice.sinks.files import read_messages, stream_files, write_files
 from tests.conftest import rows
 
@@ -278,3 +278,8 @@ def test_dead_letters_and_replay(spark, tmp_path):
     # A retry without failures leaves no letters of its batch behind.
     store_failures(failed.limit(0), path, "p/1", "run", 3)
     assert load_letters(spark, path).count() == 1
+
+
+def test_write_endpoint(spark, tmp_path):
+    write_endpoint(entries(spark, 30), client_of(tmp_path), EndpointOptions(("h1",), 10, **QUICK))
+    assert sorted(len(b) for b in sent(tmp_path)) == [10, 10, 10]

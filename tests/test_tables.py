@@ -93,3 +93,22 @@ def test_snapshot_diff(spark):
     assert rows(snapshot_diff(previous, current, "key", "version")) == [
         ("gone", "removed"), ("grown", "changed"), ("lower", "unchanged"), ("new", "added"),
         ("same", "unchanged")]
+
+
+def test_count_by_interval_on_a_stream(spark, tmp_path):
+    """In append mode an interval is written once, when the watermark has passed it."""
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    early = timed(spark, ("a", 0), ("a", 59), ("b", 61))
+    early.coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema(early.schema).parquet(str(source))
+    counts = count_by_interval(stream, "n", "ts", watermark="10 seconds")
+
+    def drain():
+        counts.writeStream.format("parquet").outputMode("append").option("path", out).option(
+            "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(
+        ).awaitTermination()
+        return rows(spark.read.parquet(out).select(
+            "topic", F.unix_seconds("window_start"), "delta"))
+    assert drain() == []
+    timed(spark, ("z", 1000)).coalesce(1).write.mode("append").parquet(str(source))
+    assert drain() == [("a", 0, 2), ("b", 60, 1)]
