@@ -1,38 +1,61 @@
 """Joins that fit both a small and a large lookup side."""
 
+import operator
+from functools import reduce
+
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from sluice.session import scratch_dir
 
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
+LOCAL_ROWS = 10_000
 
 
 def fits_broadcast(df: DataFrame, max_rows=BROADCAST_ROWS, max_bytes=BROADCAST_BYTES) -> bool:
-    """Measure a table, reading no more than `max_rows` + 1 of its rows."""
-    width = F.octet_length(F.to_json(F.struct("*"))).cast("bigint")
-    seen = df.limit(max_rows + 1).agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("size")).first()
+    """Measure a table by one aggregate, whatever the statistics of its files say."""
+    seen = df.agg(F.count(F.lit(1)).alias("n"),
+                  F.coalesce(F.sum(_row_bytes(df)), F.lit(0)).alias("size")).first()
     return seen["n"] <= max_rows and seen["size"] <= max_bytes
 
 
-def lookup_join(big: DataFrame, small: DataFrame, on, how="left", store: bool = False,
-                **limits) -> DataFrame:
+def _row_bytes(df):
+    """The bytes of a row: texts by their length, nested values by their JSON, others as a word."""
+    def width(field):
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            length = F.octet_length(field.name)
+        elif isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType)):
+            length = F.octet_length(F.to_json(field.name))
+        else:
+            return F.lit(8)
+        return F.coalesce(length, F.lit(0)) + 8
+    return reduce(operator.add, map(width, df.schema.fields)).cast("bigint")
+
+
+def lookup_join(big: DataFrame, small: DataFrame, on, how="left", **limits) -> DataFrame:
     """Join with a lookup table of unknown size.
 
     A lookup side that was measured to be small is broadcast, so that `big` is not shuffled.
-    Beyond that it is a shuffled join, where AQE splits a hot key of the `big` side. Measuring
-    evaluates the lookup side once more; `store` writes it down first, for a side that is
-    costly to compute.
+    Beyond that it is a shuffled join, where AQE splits a hot key of the `big` side.
     """
-    if store:
-        folder = scratch_dir(small.sparkSession, "lookup")
-        small.write.parquet(folder)
-        small = small.sparkSession.read.schema(small.schema).parquet(folder)
     return big.join(F.broadcast(small) if fits_broadcast(small, **limits) else small, on, how)
 
 
+def computed_once(df: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """The rows of a costly table, so that using it twice does not compute it twice.
+
+    Up to `local_rows` rows are kept in the plan; a larger table is stored in the shared folder.
+    """
+    spark = df.sparkSession
+    rows = df.limit(local_rows + 1).collect()
+    if len(rows) <= local_rows:
+        return spark.createDataFrame(rows, df.schema)
+    folder = scratch_dir(spark, "table")
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, on: list, how="inner") -> DataFrame:
     """Join on equal keys where null equals null, keeping one copy of the keys.
 

@@ -43,9 +43,19 @@ class Pipeline:
     def counters(self) -> str:
         return f"{self.state}/counters"
 
-    def run_batch(self, spark: SparkSession) -> dict:
-        """Deliver all that waits now. Counting scans the source again rather than storing it."""
-        totals = self._deliver(self.source.batch(spark), uuid.uuid4().hex, 0)
+    def run_batch(self, spark: SparkSession, persist: bool = False) -> dict:
+        """Deliver all that waits now. Counting scans the source again, unless `persist` is set.
+
+        For a large backlog, `start(availableNow=True)` with a limit per micro-batch keeps what
+        is persisted small.
+        """
+        msgs = self.source.batch(spark)
+        if persist:
+            msgs.persist(StorageLevel.DISK_ONLY)
+        try:
+            totals = self._deliver(msgs, uuid.uuid4().hex, 0)
+        finally:
+            msgs.unpersist()
         self.source.finish(spark)
         return totals
 

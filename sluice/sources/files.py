@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluice.functions.joins import lookup_join
+from sluice.functions.joins import computed_once, lookup_join
 from sluice.functions.text import (
     byte_length, cuttable, piece_bytes, piece_text, with_running_total)
 from sluice.functions.times import older_than
@@ -225,8 +225,8 @@ def _with_file_ends(records):
     def at(column):
         return F.coalesce(place == F.col(column), F.lit(False))
 
-    # Stored, as the totals of all files are behind this table, which is nearly always empty.
-    return lookup_join(records, odd, "file_path", "left", store=True).withColumn(
+    # The totals of all files are behind this table, which is nearly always empty.
+    return lookup_join(records, computed_once(odd), "file_path", "left").withColumn(
         "_bare", at("_last")).withColumn("_marked", at("_first")).drop("_first", "_last")
 
 

@@ -35,10 +35,11 @@ def delivered(spark, tmp_path):
     return sorted(r.data for r in read_messages(spark, str(tmp_path / "out")).collect())
 
 
-def test_batch_reads_each_file_once(spark, folder, tmp_path):
+@pytest.mark.parametrize("persist", [False, True])
+def test_batch_reads_each_file_once(spark, folder, tmp_path, persist):
     root = folder(CONTENT, AGES)
     flow = file_flow(root, tmp_path)
-    assert flow.run_batch(spark) == {
+    assert flow.run_batch(spark, persist) == {
         "read": 11, "written": 11, "failed": 0, "skipped": 0, "dropped": 0}
     assert flow.run_batch(spark)["read"] == 0
     folder({"5.log": b"late\n"})

@@ -1,6 +1,7 @@
 """Cutting text into lines, and the byte positions of lines."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +84,21 @@ def test_decode_utf8(spark):
     assert [r.got for r in df.collect()] == [want for _, want in raw]
 
 
+def jvm_decoded(raw):
+    """As Python replaces malformed bytes, but an encoded surrogate, cut or not, as one."""
+    return re.sub(rb"\xed[\xa0-\xbf][\x80-\xbf]?", "\ufffd".encode(), raw).decode("utf-8", "replace")
+
+
+def test_decode_utf8_of_random_bytes(spark):
+    rng = random.Random(11)
+    parts = [b"a", b"\x80", b"\xbf", b"\xa0", b"\xc3", b"\xe0", b"\xe4", b"\xed", b"\xf0", b"\xf4",
+             b"\xff", b"\x90", "é".encode(), "你".encode(), "😀".encode()]
+    raws = [b"".join(rng.choices(parts, k=rng.randrange(1, 12))) for _ in range(5000)]
+    df = spark.createDataFrame([(r,) for r in raws], "b binary")
+    got = [r.t for r in df.select(decode_utf8(F.col("b").cast("string")).alias("t")).collect()]
+    assert got == [jvm_decoded(r) for r in raws]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 1000])
 def test_running_total(spark, n):
     df = spark.range(1).select(F.when(

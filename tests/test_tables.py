@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sluice.functions.joins import computed_once, fits_broadcast
 from sluice.functions.ranking import row_numbers
 from sluice.operators.batching import assign_batches
 from sluice.operators.counters import (
@@ -112,3 +113,23 @@ def test_count_by_interval_on_a_stream(spark, tmp_path):
     assert drain() == []
     timed(spark, ("z", 1000)).coalesce(1).write.mode("append").parquet(str(source))
     assert drain() == [("a", 0, 2), ("b", 60, 1)]
+
+
+@pytest.mark.parametrize("local_rows", [100, 3])
+def test_computed_once(spark, local_rows):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            calls.add(len(frame))
+            yield frame
+    df = spark.range(0, 10, 1, 1).mapInPandas(counted, "id long")
+    once = computed_once(df, local_rows)
+    before = calls.value
+    assert rows(once) == rows(once) == [(i,) for i in range(10)]
+    assert calls.value == before
+
+
+@pytest.mark.parametrize("rows_, bytes_, fits", [(10, 10 ** 6, True), (9, 10 ** 6, False), (10, 50, False)])
+def test_fits_broadcast(spark, rows_, bytes_, fits):
+    assert fits_broadcast(spark.range(10), rows_, bytes_) is fits
