@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.functions.times import epoch_micros
+from sluice.functions.times import epoch_micros, interval_start
 from sluice.operators.convert import rename_topics
 
 MOVING_MINUTES = (1, 5, 15)
@@ -19,14 +19,17 @@ def count_by_interval(msgs: DataFrame, name: str, ts_col: str, seconds: int = 60
                       watermark: str | None = None) -> DataFrame:
     """Messages per (name, topic, interval); intervals without traffic give no row.
 
-    On a stream give a `watermark` delay, which lets closed intervals be written and forgotten.
+    Messages without a time are counted with a null interval. On a stream give a `watermark`
+    delay, which lets closed intervals be written and forgotten, and leaves out messages that
+    have no time or come later than the delay.
     """
-    if watermark:
-        msgs = msgs.withWatermark(ts_col, watermark)
-    window = F.window(ts_col, f"{seconds} seconds")
-    return msgs.groupBy(F.lit(name).alias("name"), "topic", window.alias("_w")).agg(
-        F.count(F.lit(1)).alias("delta")
-    ).select("name", "topic", F.col("_w.start").alias("window_start"), "delta")
+    keys, count = [F.lit(name).alias("name"), "topic"], F.count(F.lit(1)).alias("delta")
+    if watermark is None:
+        start = interval_start(msgs, ts_col, seconds).alias("window_start")
+        return msgs.groupBy(*keys, start).agg(count)
+    window = F.window(ts_col, f"{seconds} seconds").alias("_window")
+    return msgs.withWatermark(ts_col, watermark).groupBy(*keys, window).agg(count).select(
+        "name", "topic", F.col("_window.start").alias("window_start"), "delta")
 
 
 def reconcile(source_counts: DataFrame, sink_counts: DataFrame, mappings=None) -> DataFrame:
@@ -62,7 +65,7 @@ def throughput(msgs: DataFrame, ts_col: str, bucket_seconds: int = 5) -> DataFra
     The rates are plain means over the minutes that end with the bucket. Messages are counted
     per bucket first, so the window holds one row per bucket of a topic, not its messages.
     """
-    start = F.window(ts_col, f"{bucket_seconds} seconds")["start"]
+    start = interval_start(msgs, ts_col, bucket_seconds)
     buckets = msgs.groupBy("topic", start.alias("bucket_start")).agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("topic").orderBy(epoch_micros(buckets, "bucket_start"))
     rates = [

@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def local_session(cores="*", partitions=8, app="sluice", **conf) -> SparkSession:
@@ -32,6 +33,8 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"{CHECKPOINT_DIR} must name a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="sluice-")
-        spark.conf.set(CHECKPOINT_DIR, base)
+        application = spark.sparkContext.applicationId
+        if application not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="sluice-")
+        base = _LOCAL_FOLDERS[application]
     return f"{base.rstrip('/')}/sluice/{label}-{uuid.uuid4().hex}"

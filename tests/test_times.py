@@ -5,7 +5,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.functions.times import epoch_micros, older_than
+from sluice.functions.times import epoch_micros, interval_start, older_than
 from sluice.operators.counters import throughput
 from sluice.sources.cleanup import expire_older_than_days
 
@@ -39,3 +39,14 @@ def test_local_timestamps(spark, zone):
     assert got == [int(w.replace(tzinfo=timezone.utc).timestamp()) * 10 ** 6 for w in want] + [-500_000]
     rates = throughput(df.where("ts > '2024-01-01'").withColumn("topic", F.lit("a")), "ts")
     assert [r.rate_15m for r in rates.collect()] == [1 / 900] * 3
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_interval_start_is_that_of_windows(spark, zone, kind):
+    df = spark.range(-3000, 3000).select(
+        F.timestamp_micros(F.col("id") * 1_777_777_777 + F.lit(1_711_843_200_000_000)).cast(kind).alias("ts"))
+    df = df.withColumn("ours", interval_start(df, "ts", 300))
+    got = df.select("ours", F.window("ts", "300 seconds")["start"].alias("want")).where("ours <> want")
+    assert got.count() == 0 and df.schema["ours"].dataType.simpleString() == kind
+    empty = df.select(F.lit(None).cast(kind).alias("ts"))
+    assert empty.where(interval_start(empty, "ts", 60).isNotNull()).count() == 0
