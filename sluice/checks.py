@@ -8,14 +8,17 @@ are entries of a file listing and of a ledger. All queries run over whole tables
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.functions.joins import computed_once, lookup_join
 from sluice.functions.ranking import row_numbers
 from sluice.functions.text import decode_utf8
 from sluice.operators import convert, counters, deadletter
 from sluice.operators.batching import assign_batches
 from sluice.operators.lines import line_offsets, resume_lines, split_lines, tag_category
 from sluice.operators.snapshots import snapshot_diff
+from sluice.plans.flow import Pipeline
+from sluice.plans.sources import FileSource
 from sluice.session import scratch_dir
-from sluice.sinks.delivery import deliver
+from sluice.sinks.delivery import EndpointSink, FileSink, deliver
 from sluice.sinks.endpoint import EndpointOptions, deliver_to_endpoint
 from sluice.sinks.files import read_messages, stream_files, write_files
 from sluice.sinks.kafka import to_kafka
@@ -282,6 +285,21 @@ def stream_file_lines(spark, sf_dir):
     return read_messages(spark, f"{out}/messages")
 
 
+@check(FILE_LINES_SQL)
+def resume_file_lines(spark, sf_dir):
+    """Files read up to a line near their middle, then from the ledger's offset to their end."""
+    listing = files.match_files(
+        files.list_files(spark, written_as_text(spark, sf_dir)), r"part-.*\.txt")
+    lines = files.read_lines(spark, listing, "app", offsets=True).withColumnRenamed(
+        "file_path", "path")
+    reached = computed_once(
+        lines.join(listing, "path").where("end_offset <= length / 2").groupBy("path").agg(
+            F.max("end_offset").alias("offset")).withColumn("completed", F.lit(False)))
+    before = lookup_join(lines, reached, "path", "inner").where("end_offset <= offset")
+    after = files.read_pending(spark, listing, reached, "app")
+    return before.select("topic", "data").unionByName(after.select("topic", "data"))
+
+
 KAFKA_SQL = "SELECT event_type AS topic, props AS {data} FROM events"
 
 
@@ -579,3 +597,47 @@ def deliver_and_reconcile(spark, sf_dir):
     return counters.reconcile(
         counters.count_messages(msgs, "documents-FileSource"),
         counters.count_messages(read_messages(spark, folder), "documents-FileSink"), SOURCES)
+
+
+FLOW_SQL = f"""WITH all_lines AS ({FILE_LINES_SQL})
+SELECT 'docs-FileSource' AS name, 'app' AS topic, 'read' AS event, count(*) AS n FROM all_lines
+UNION ALL
+SELECT 'docs-{{sink}}', 'lines', 'written', count(*) FILTER (WHERE data <> '') FROM all_lines"""
+
+
+def flow_counts(spark, flow):
+    """Drain the folder in micro-batches and add up what each end has counted."""
+    flow.start(spark, availableNow=True).awaitTermination()
+    counts = flow.counts(spark, "read").unionByName(flow.counts(spark, "written"))
+    return counts.groupBy("name", "topic", "event").agg(F.sum("delta").alias("n"))
+
+
+@check(FLOW_SQL.format(sink="FileSink"))
+def folder_to_files(spark, sf_dir):
+    """The documents as a watched folder; blank lines are dropped on the way to the files."""
+    state = scratch_dir(spark, "flow")
+    source = FileSource(written_as_text(spark, sf_dir), "app", r"^.*\.txt$", max_files=4)
+    return flow_counts(spark, Pipeline(
+        "docs", source, FileSink(f"{state}/out"), state,
+        lambda msgs: convert.drop_empty(convert.rename_topics(msgs, "app:lines"))))
+
+
+@check(FLOW_SQL.format(sink="EndpointSink"))
+def folder_to_hosts(spark, sf_dir):
+    """The same to remote hosts, of which one is down; the sink skips blank lines by itself."""
+    class Client:
+        def __init__(self, host):
+            if host == "down":
+                raise ConnectionError(host)
+
+        def send(self, batch):
+            return True
+
+        def close(self):
+            pass
+
+    state = scratch_dir(spark, "flow")
+    source = FileSource(written_as_text(spark, sf_dir), "app", r"^.*\.txt$", max_files=4)
+    sink = EndpointSink(Client, EndpointOptions(("a", "b", "down")), f"{state}/outcomes")
+    return flow_counts(spark, Pipeline(
+        "docs", source, sink, state, lambda msgs: convert.rename_topics(msgs, "app:lines")))

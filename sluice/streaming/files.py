@@ -55,6 +55,8 @@ def stream_records(spark: SparkSession, directory: str, include_pattern: str = D
         reader = reader.option("pathGlobFilter", glob)
     if delete_after_read:
         reader = reader.option("cleanSource", "delete")
+    else:  # folders named like key=value are folders, and their files are filtered out below
+        reader = reader.option("recursiveFileLookup", "true")
     records = delimited(reader, escape_glob(directory), folder, whole_files).where(
         full_match(F.col("file_name"), include_pattern))
     if retention_seconds is not None:

@@ -7,8 +7,9 @@ from sluice.operators.convert import (
     add_host_prefix, apply_converter, convert_batches, drop_empty, filter_messages, identity,
     parse_mappings, rename_topics)
 from sluice.schema import MESSAGE
-from sluice.sinks.kafka import kafka_sink_options, to_kafka
-from sluice.sources.kafka import from_kafka, kafka_source_options, parse_topic_threads
+from sluice.sinks.kafka import kafka_sink_options, to_kafka, write_kafka
+from sluice.sources.kafka import (
+    from_kafka, kafka_source_options, parse_topic_threads, read_kafka, stream_kafka)
 from tests.conftest import rows
 
 
@@ -131,3 +132,13 @@ def test_kafka_projections(spark):
     assert rows(from_kafka(records)) == sorted([("t", "v"), ("t", None), ("u", "�x")], key=repr)
     assert rows(from_kafka(records, lineage=True).where("offset = 7")) == [("t", "v", 1, 7)]
     assert to_kafka(from_kafka(records)).columns == ["topic", "value"]
+
+
+def test_kafka_needs_the_connector(spark):
+    conf = {"source.kafka.topic.and.threads": "t:1", "source.kafka.bootstrap.servers": "h:9092",
+            "sink.kafka.bootstrap.servers": "h:9092"}
+    msgs = spark.createDataFrame([("t", "1")], MESSAGE)
+    for call in (lambda: read_kafka(spark, conf), lambda: stream_kafka(spark, conf, 100),
+                 lambda: write_kafka(msgs, conf)):
+        with pytest.raises(Exception, match="(?i)failed to find data source: kafka"):
+            call()

@@ -135,7 +135,8 @@ def test_stream_delete_after_read_spares_other_files(spark, folder, tmp_path):
 
 @pytest.mark.parametrize("whole", [False, True])
 def test_stream_lines(spark, folder, tmp_path, whole):
-    root = folder({n: c for n, c in CONTENT.items() if n not in ("2.log", "b d.log")}, AGES)
+    root = folder({n: c for n, c in CONTENT.items() if n not in ("2.log", "b d.log")}
+                  | {"k=1/in.log": b"no\n", "sub/in.log": b"no\n"}, AGES)
     lines = stream_lines(spark, root, "cat", whole_files=whole, retention_seconds=3600)
     query = lines.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
         "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
