@@ -290,8 +290,10 @@ def resume_file_lines(spark, sf_dir):
     """Files read up to a line near their middle, then from the ledger's offset to their end."""
     listing = files.match_files(
         files.list_files(spark, written_as_text(spark, sf_dir)), r"part-.*\.txt")
-    lines = files.read_lines(spark, listing, "app", offsets=True).withColumnRenamed(
-        "file_path", "path")
+    stored = scratch_dir(spark, "lines")
+    files.read_lines(spark, listing, "app", offsets=True).withColumnRenamed(
+        "file_path", "path").write.parquet(stored)
+    lines = spark.read.parquet(stored)
     reached = computed_once(
         lines.join(listing, "path").where("end_offset <= length / 2").groupBy("path").agg(
             F.max("end_offset").alias("offset")).withColumn("completed", F.lit(False)))

@@ -37,9 +37,20 @@ def lookup_join(big: DataFrame, small: DataFrame, on, how="left", **limits) -> D
     """Join with a lookup table of unknown size.
 
     A lookup side that was measured to be small is broadcast, so that `big` is not shuffled.
-    Beyond that it is a shuffled join, where AQE splits a hot key of the `big` side.
+    Beyond that it is a shuffled join, where AQE splits a hot key of the `big` side. AQE does so
+    only for sides that are shuffled for this join, not for a reused aggregation, so the lookup
+    side is stored first.
     """
-    return big.join(F.broadcast(small) if fits_broadcast(small, **limits) else small, on, how)
+    if fits_broadcast(small, **limits):
+        return big.join(F.broadcast(small), on, how)
+    return big.join(stored(small), on, how)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The table, written to the shared folder and read from there."""
+    folder = scratch_dir(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def computed_once(df: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
@@ -47,22 +58,18 @@ def computed_once(df: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
 
     Up to `local_rows` rows are kept in the plan; a larger table is stored in the shared folder.
     """
-    spark = df.sparkSession
     rows = df.limit(local_rows + 1).collect()
     if len(rows) <= local_rows:
-        return spark.createDataFrame(rows, df.schema)
-    folder = scratch_dir(spark, "table")
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+        return df.sparkSession.createDataFrame(rows, df.schema)
+    return stored(df)
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, on: list, how="inner") -> DataFrame:
-    """Join on equal keys where null equals null, keeping one copy of the keys.
+def null_safe_lookup(big: DataFrame, small: DataFrame, on: list, how="left", **limits) -> DataFrame:
+    """`lookup_join` where null equals null, keeping one copy of the keys.
 
     Structs compare their null fields as equal, and a struct is a plain hash-partitioning key.
     """
-    rest = [c for c in right.columns if c not in on]
-    return (
-        left.withColumn("_key", F.struct(*on))
-        .join(right.select(F.struct(*on).alias("_key"), *rest), "_key", how).drop("_key")
-    )
+    rest = [c for c in small.columns if c not in on]
+    keyed = small.select(F.struct(*on).alias("_key"), *rest)
+    return lookup_join(
+        big.withColumn("_key", F.struct(*on)), keyed, "_key", how, **limits).drop("_key")

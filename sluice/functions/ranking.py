@@ -3,8 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.functions.joins import null_safe_join
-from sluice.session import scratch_dir
+from sluice.functions.joins import computed_once, null_safe_lookup, stored
 
 ONE_TASK_ROWS = 2_000_000
 
@@ -30,23 +29,23 @@ def _number_by_range(df, lanes, order, out):
 
     The ranges come from a sample, so they may differ when computed again (a lost executor
     is enough). The sorted rows are therefore stored once, and both uses read that table.
+    Rows that are equal in all keys are kept apart by their place, so no range is larger.
     """
-    spark = df.sparkSession
-    keys = [*lanes, *order]
-    folder = scratch_dir(spark, "ranges")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-       .withColumn("_at", F.monotonically_increasing_id())
-       .write.parquet(folder))
-    stored = spark.read.parquet(folder).withColumn("_part", F.shiftright("_at", 33))
-    runs = stored.groupBy(*lanes, "_part").agg(
+    keys = [*lanes, *order, "_place"]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stored(
+        df.withColumn("_place", F.monotonically_increasing_id())
+        .repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("_place")
+        .withColumn("_at", F.monotonically_increasing_id())
+    ).withColumn("_part", F.shiftright("_at", 33))
+    runs = placed.groupBy(*lanes, "_part").agg(
         F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     # One row per lane and range, so this window is small whatever the lane holds.
     before = Window.partitionBy(*(lanes or [F.lit(0)])).orderBy("_part").rowsBetween(
         Window.unboundedPreceding, -1)
     bases = runs.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     return (
-        null_safe_join(stored, bases, [*lanes, "_part"])
+        null_safe_lookup(placed, computed_once(bases), [*lanes, "_part"])
         .withColumn(out, F.col("_base") + F.col("_at") - F.col("_first") + 1)
         .drop("_at", "_part", "_first", "_base")
     )

@@ -58,18 +58,21 @@ def with_running_total(df: DataFrame, numbers: str, out: str) -> DataFrame:
         return F.array_append(totals, F.element_at(totals, -1) + value)
 
     step, runs, bases = f"_{out}_step", f"_{out}_runs", f"_{out}_bases"
+    first, second = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1))
     last_run = F.ceil(F.size(numbers) / F.col(step)).cast("int") - 1
     return (
         df.withColumn(step, F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(numbers))).cast("int")))
-        .withColumn(runs, F.when(F.size(numbers) > 0, F.transform(
+        .withColumn(runs, F.when(F.size(numbers) > 2, F.transform(
             F.sequence(F.lit(0), last_run),
             lambda i: F.aggregate(F.slice(numbers, i * F.col(step) + 1, F.col(step)), zero, add),
         )))
         .withColumn(bases, F.aggregate(
             runs, zero, lambda totals, run: add(totals, F.element_at(run, -1))))
-        .withColumn(out, F.flatten(F.zip_with(
+        .withColumn(out, F.when(F.size(numbers) < 2, F.col(numbers)).when(
+            F.size(numbers) == 2, F.array(first, first + second)
+        ).otherwise(F.flatten(F.zip_with(
             runs, F.slice(bases, 1, F.size(runs)),
             lambda run, base: F.transform(
-                F.slice(run, 2, F.size(run) - 1), lambda total: total + base))))
+                F.slice(run, 2, F.size(run) - 1), lambda total: total + base)))))
         .drop(step, runs, bases)
     )

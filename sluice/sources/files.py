@@ -6,6 +6,7 @@ Spark does not list empty files and names that start with `_` or `.`.
 """
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -273,9 +274,16 @@ def read_pending(spark: SparkSession, listing: DataFrame, ledger: DataFrame,
     """
     saved = ledger.groupBy("path").agg(
         F.max("offset").alias("offset"), F.bool_or("completed").alias("completed"))
-    pending = listing.join(saved, "path", "left").where(~F.coalesce("completed", F.lit(False)))
-    begun = F.coalesce("offset", F.lit(0)) > 0
-    whole = read_lines(spark, pending.where(~begun), category, exact=exact)
-    rest = resume_lines(
-        read_lines(spark, pending.where(begun), category, offsets=True), saved)
-    return whole.unionByName(rest.drop("end_offset"))
+    pending = listing.join(saved, "path", "left").where(
+        ~F.coalesce("completed", F.lit(False))
+    ).select("path", (F.coalesce("offset", F.lit(0)) > 0).alias("begun"))
+    new, begun = [], []
+    for row in pending.toLocalIterator():
+        (begun if row["begun"] else new).append(row["path"])
+    parts = []
+    if new or not begun:
+        parts.append(read_lines(spark, new, category, exact=exact))
+    if begun:
+        lines = read_lines(spark, begun, category, offsets=True)
+        parts.append(resume_lines(lines, saved).drop("end_offset"))
+    return reduce(DataFrame.unionByName, parts)

@@ -142,3 +142,29 @@ def test_kafka_needs_the_connector(spark):
                  lambda: write_kafka(msgs, conf)):
         with pytest.raises(Exception, match="(?i)failed to find data source: kafka"):
             call()
+
+
+def test_hot_topic_is_split_beyond_the_broadcast_limit(spark, tmp_path):
+    """Half of the messages have one topic; AQE reads its partition in parts."""
+    spark.range(0, 200_000, 1, 8).selectExpr(
+        "IF(id % 2 = 0, 'hot', 't' || id % 50) AS topic", "uuid() AS data"
+    ).write.parquet(str(tmp_path / "msgs"))
+    msgs = spark.read.parquet(str(tmp_path / "msgs"))
+    table = spark.range(50).selectExpr("'t' || id AS from_topic", "'z' || id AS to_topic").union(
+        spark.createDataFrame([("hot", "cold")]))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        renamed = rename_topics(msgs, table, max_rows=10)
+        renamed.write.format("noop").mode("overwrite").save()
+        counts = renamed.groupBy("topic").count()
+        assert ("cold", 100_000) in rows(counts) and renamed.count() == 200_000
+        renamed.collect()
+        assert "skew=true" in renamed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in conf:
+            spark.conf.unset(key)

@@ -133,3 +133,11 @@ def test_computed_once(spark, local_rows):
 @pytest.mark.parametrize("rows_, bytes_, fits", [(10, 10 ** 6, True), (9, 10 ** 6, False), (10, 50, False)])
 def test_fits_broadcast(spark, rows_, bytes_, fits):
     assert fits_broadcast(spark.range(10), rows_, bytes_) is fits
+
+
+def test_equal_rows_do_not_share_a_range(spark):
+    df = spark.range(0, 8000, 1, 4).select(F.lit("hot").alias("lane"), F.lit(1).alias("v"))
+    got = row_numbers(df, ["lane"], ["v"], "n", one_task_rows=10)
+    assert got.agg(F.min("n"), F.max("n"), F.count_distinct("n")).first() == (1, 8000, 8000)
+    sizes = [n for (n,) in got.groupBy(F.input_file_name()).count().select("count").collect()]
+    assert len(sizes) > 1 and max(sizes) < 6000
