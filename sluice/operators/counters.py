@@ -7,6 +7,7 @@ from sluice.functions.times import epoch_micros, interval_start
 from sluice.operators.convert import rename_topics
 
 MOVING_MINUTES = (1, 5, 15)
+DAY_MICROS = 86_400_000_000
 
 
 def count_messages(msgs: DataFrame, name: str) -> DataFrame:
@@ -63,16 +64,25 @@ def throughput(msgs: DataFrame, ts_col: str, bucket_seconds: int = 5) -> DataFra
     """Per topic and bucket: the count and the rates over the last 1, 5 and 15 minutes.
 
     The rates are plain means over the minutes that end with the bucket. Messages are counted
-    per bucket first, so the window holds one row per bucket of a topic, not its messages.
+    per bucket first, and a window holds the buckets of one topic and day. The last buckets of
+    a day are also given to the next day, whose first rates reach back to them.
     """
     start = interval_start(msgs, ts_col, bucket_seconds)
     buckets = msgs.groupBy("topic", start.alias("bucket_start")).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("topic").orderBy(epoch_micros(buckets, "bucket_start"))
+    buckets = buckets.withColumn("_at", epoch_micros(buckets, "bucket_start"))
+    day, reach = F.floor(F.col("_at") / DAY_MICROS), max(MOVING_MINUTES) * 60_000_000
+    days = F.when(F.floor((F.col("_at") + reach) / DAY_MICROS) > day, F.array(day, day + 1)).otherwise(
+        F.array(day))
+    order = Window.partitionBy("topic", "_day").orderBy("_at")
     rates = [
         (F.sum("n").over(order.rangeBetween((bucket_seconds - 60 * m) * 1_000_000, 0)) / (60 * m))
         .alias(f"rate_{m}m") for m in MOVING_MINUTES
     ]
-    return buckets.select("topic", "bucket_start", "n", *rates)
+    return (
+        buckets.withColumn("_own", day).withColumn("_day", F.explode(days))
+        .select("topic", "bucket_start", "n", "_own", "_day", *rates)
+        .where(F.col("_day").eqNullSafe(F.col("_own"))).drop("_own", "_day")
+    )
 
 
 def write_counters(counters: DataFrame, path: str, fmt: str = "parquet",

@@ -57,6 +57,19 @@ def test_rates(spark):
     assert rows(mean_rates(msgs, "ts")) == [("a", 4, 899.0, 4 / 899.0), ("b", 1, 0.0, None)]
 
 
+def test_rates_reach_over_midnight(spark):
+    day = 86_400
+    msgs = timed(spark, ("a", day - 890), ("a", day - 50), ("a", day + 5), ("a", day + 300))
+    msgs = msgs.unionByName(msgs.select("topic", F.lit(None).cast("timestamp").alias("ts")).limit(2))
+    got = {r.s: r for r in throughput(msgs, "ts").withColumn(
+        "s", F.unix_seconds("bucket_start")).collect()}
+    assert sorted(got, key=repr) == sorted(
+        [None, day - 890, day - 50, day + 5, day + 300], key=repr)
+    assert got[None].n == 2
+    assert got[day + 5].rate_1m * 60 == 2 and got[day + 5].rate_15m * 900 == 3
+    assert got[day + 300].rate_5m * 300 == 2 and got[day + 300].rate_15m * 900 == 3
+
+
 def test_write_counters(spark, tmp_path):
     counts = spark.createDataFrame([("n", "a", 1)], COUNTER)
     for _ in range(2):
