@@ -240,3 +240,15 @@ def test_live_rates(spark, folder, tmp_path):
         assert set(live_rates(query)) == {"rows", "arriving", "processed"}
     finally:
         query.stop()
+
+
+def test_kafka_pipeline_from_configuration():
+    flow = from_conf({
+        "pipeline.name": "k", "pipeline.source": "some.package.KafkaSourceV010",
+        "pipeline.converter": "some.package.DefaultConverter",
+        "pipeline.store": "some.package.DefaultStore",
+        "pipeline.sink": "some.package.KafkaSinkV010",
+        "source.kafka.topic.and.threads": "t1:2", "source.kafka.bootstrap.servers": "h:9092",
+        "sink.kafka.bootstrap.servers": "h:9092"}, "state")
+    assert (flow.source.name, flow.sink.name) == ("KafkaSource", "KafkaSink")
+    assert flow.converter("msgs") == "msgs"
