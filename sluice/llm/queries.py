@@ -6,7 +6,7 @@ where SQL can express it.
 
 from pyspark.sql import functions as F
 
-from sluice.llm import decontaminate, mixing, quality, tokens, topk, toxicity, urls
+from sluice.llm import decontaminate, jaccard, mixing, quality, tokens, topk, toxicity, urls
 
 QUERIES, SQL = {}, {}
 
@@ -141,6 +141,12 @@ def op8_decontamination(spark, sf_dir):
     return decontaminate.contaminated(docs, items, ["doc_id"])
 
 
+@query
+def op9_jaccard_join(spark, sf_dir):
+    """Groups of documents whose sets of 3-word shingles have a similarity of 0.9 or more."""
+    return jaccard.linked(table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
              ("block", "com/de/")]
 
