@@ -6,7 +6,7 @@ where SQL can express it.
 
 from pyspark.sql import functions as F
 
-from sluice.llm import decontaminate, jaccard, mixing, quality, tokens, topk, toxicity, urls
+from sluice.llm import decontaminate, jaccard, mixing, passages, quality, tokens, topk, toxicity, urls
 
 QUERIES, SQL = {}, {}
 
@@ -67,6 +67,12 @@ def mix_documents(docs, tokens_col=None):
          F.when(F.col("source") == "src0", 1).otherwise(2)], tokens=tokens_col, **MIX)
 
 
+@query
+def op5_near_passages(spark, sf_dir):
+    """Passages of 50 words or more that nearly repeat one of an earlier document."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents")).drop("text_id")
+
+
 @query
 def op6_mixing(spark, sf_dir):
     """Half of all tokens, drawn by the weights of domains, languages and sources."""
