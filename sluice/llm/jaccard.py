@@ -167,7 +167,7 @@ def _verified(pairs, sets, num, den):
 
 
 def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col="doc_id", text_col="text") -> DataFrame:
-    """One row a row of `docs`: id, n_shingles, component_id (the smallest id reachable by links, its own included).
+    """One row a row of `docs`: id, n_shingles, component_id (the smallest id reachable by links, its own included), text_id.
 
     Documents link when den * |A and B| >= num * |A or B| for their sets of shingles of n words; a document with fewer words
     has its whole sequence as one shingle; a null or empty text has none and links with nothing. Documents with equal
@@ -178,8 +178,9 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col="d
     No pairs within a group are made: each key's sets are first compared with the smallest of them only, and links
     merge into components. Then only sets that share a key but lie in different components are compared.
     """
-    signed = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).select(
-        "doc_id", _signer(n, num, den)("_text").alias("s")).select("doc_id", "s.*"))
+    signed = stored(docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_id"),
+        _signer(n, num, den)(text_col).alias("s")).select("doc_id", "text_id", "s.*"))
     full = signed.filter("n > 0")
     classes = stored(full.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n")))
     once = full.select("set_id", "doc_id", "keys").join(
@@ -200,10 +201,10 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col="d
     placed = classes.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", label)
     smallest = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
     placed = stored(placed.join(smallest, "component").select("set_id", "component_id"))
-    slim = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id"))
+    slim = signed.select("doc_id", "text_id", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id"))
     return slim.join(placed, "set_id", "left").select(
         F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_id")
 
 
 def _near_sizes(pairs, classes, num, den):
@@ -233,3 +234,22 @@ def _open_pairs(members, found, stars, classes, num, den):
     pairs = left.join(placed, "key").filter("ca < component").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return stored(_near_sizes(pairs.join(stars, ["a", "b"], "left_anti"), classes, num, den))
+
+
+def one_of_each_group(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col="doc_id",
+                      text_col="text") -> DataFrame:
+    """`docs` without the rows that `linked` puts into the component of a smaller id; all columns stay.
+
+    Rows without words, and rows without an id, stay. Of rows that repeat an id and a text, one stays, where there are any.
+    """
+    found = stored(linked(docs, n, num, den, id_col, text_col).select(
+        F.col(id_col).alias("_id"), F.col("text_id").alias("_tid"), "n_shingles", "component_id"))
+    gone = stored(found.filter("n_shingles > 0 AND _id IS NOT NULL AND component_id <> _id").select("_id", "_tid").distinct())
+    again = found.filter("n_shingles > 0 AND _id IS NOT NULL").groupBy("_id", "_tid").count().filter("count > 1")
+    keyed = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_tid", F.xxhash64(text_col))
+    left = lookup_join(keyed, gone, ["_id", "_tid"], "left_anti")
+    if not again.isEmpty():
+        again = stored(again.select("_id", "_tid"))
+        left = lookup_join(left, again, ["_id", "_tid"], "left_anti").unionByName(
+            lookup_join(left, again, ["_id", "_tid"], "left_semi").dropDuplicates(["_id", "_tid"]))
+    return left.select(*docs.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sluice.functions.joins import stored
 
 MAX_EPOCHS = 4
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 1024
 _SPACES = r"[\x20\x09-\x0D]+"
 
 

@@ -6,7 +6,7 @@ where SQL can express it.
 
 from pyspark.sql import functions as F
 
-from sluice.llm import decontaminate, jaccard, mixing, passages, quality, tokens, topk, toxicity, urls
+from sluice.llm import decontaminate, jaccard, mixing, passages, quality, suffixes, tokens, topk, toxicity, urls
 
 QUERIES, SQL = {}, {}
 
@@ -38,6 +38,13 @@ def op1_toxicity(spark, sf_dir):
     return out.select("doc_id", held.alias("held_out"), "score", predicted(F.col("score")), "flagged")
 
 
+@query
+def op2_suffix_dedup(spark, sf_dir):
+    """What is left of each document without strings of 200 bytes that occur elsewhere, too."""
+    out = suffixes.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op3_quality(spark, sf_dir):
     """Quality of each document, learned from rows whose remainder by 3 is not 1."""
@@ -150,7 +157,7 @@ def op8_decontamination(spark, sf_dir):
 @query
 def op9_jaccard_join(spark, sf_dir):
     """Groups of documents whose sets of 3-word shingles have a similarity of 0.9 or more."""
-    return jaccard.linked(table(spark, sf_dir, "documents"), 3, 90, 100)
+    return jaccard.linked(table(spark, sf_dir, "documents"), 3, 90, 100).drop("text_id")
 
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
