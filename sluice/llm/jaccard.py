@@ -22,6 +22,8 @@ from sluice.llm import words as W
 from sluice.llm.graph import components
 
 BAND_STEPS = 3
+BLOCK_ELEMENTS = 500_000
+COMPARE_CELLS = 4 << 20
 _RANDOM = 0xD6E8FEB86659FD93
 
 
@@ -176,7 +178,7 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col="d
     64-bit hashes of shingles and classes as 64-bit hashes of sets.
 
     No pairs within a group are made: each key's sets are first compared with the smallest of them only, and links
-    merge into components. Then only sets that share a key but lie in different components are compared.
+    merge into components. Then only sets of keys that several components hold are compared, in blocks of bounded size.
     """
     signed = stored(docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_id"),
@@ -188,15 +190,13 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col="d
     keys = once.select("set_id", F.explode("keys").alias("key"))
     common = keys.groupBy("key").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).filter("a < z")
     members = stored(keys.join(common.select("key", "a"), "key").select("key", "a", F.col("set_id").alias("b")))
-    stars = members.filter("a < b").select("a", "b").distinct()
-    stars = stored(_near_sizes(stars, classes, num, den))
+    stars = stored(members.filter("a < b").select("a", "b").distinct())
     wanted = stars.select(F.col("a").alias("set_id")).union(stars.select("b")).distinct()
     sets = _elements(docs, classes, wanted, n, id_col, text_col)
-    links = stored(_verified(stars, sets, num, den))
+    links = stored(_verified(_near_sizes(stars, classes, num, den), sets, num, den))
     found = stored(components(links))
-    rest = _open_pairs(members, found, stars, classes, num, den)
-    if not rest.isEmpty():
-        found = stored(components(links.unionByName(_verified(rest, sets, num, den))))
+    more = _links_in_bundles(_bundles(members, found), sets, num, den)
+    found = stored(components(links.unionByName(more)))
     label = F.coalesce("component", "set_id")
     placed = classes.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", label)
     smallest = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
@@ -223,17 +223,87 @@ def _elements(docs, classes, wanted, n, id_col, text_col):
     return stored(read)
 
 
-def _open_pairs(members, found, stars, classes, num, den):
-    """Pairs of sets that share a key, lie in different components and were not compared yet."""
+def _bundles(members, found):
+    """(set_id, component, bundle): sets of keys that more than one component holds; such keys' sets are one bundle."""
     label = found.withColumnRenamed("node", "b")
-    placed = members.select("key", "b").join(label, "b", "left").withColumn("component", F.coalesce("component", "b"))
+    placed = members.join(label, "b", "left").withColumn("component", F.coalesce("component", "b"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter(
         "lo < hi").select("key")
-    placed = stored(placed.join(mixed, "key"))
-    left = placed.select("key", F.col("b").alias("a"), F.col("component").alias("ca"))
-    pairs = left.join(placed, "key").filter("ca < component").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return stored(_near_sizes(pairs.join(stars, ["a", "b"], "left_anti"), classes, num, den))
+    placed = stored(placed.join(mixed, "key").select("a", "b", "component").distinct())
+    bundle = components(placed.select("a", "b"))
+    sets = placed.select(F.col("b").alias("node"), "component").distinct()
+    return stored(sets.join(bundle.withColumnRenamed("component", "bundle"), "node").withColumnRenamed("node", "set_id"))
+
+
+def _spanning(linked, components_):
+    """Links (row, column) that join what the boolean matrix and equal components hold together, one fewer than rows at most."""
+    n = len(components_)
+    together = linked | (components_[:, None] == components_[None, :])
+    todo, out = np.ones(n, bool), []
+    for root in range(n):
+        if not todo[root]:
+            continue
+        todo[root] = False
+        front = [root]
+        while front:
+            row = front.pop()
+            new = np.flatnonzero(together[row] & todo)
+            todo[new] = False
+            front += new.tolist()
+            out += [(row, c) for c in new.tolist() if linked[row, c]]
+    return out
+
+
+def _common_counts(values, ends):
+    """The sizes of all intersections of a block's sets: products of 0/1 matrices, some shared elements at a time."""
+    n = len(ends) - 1
+    row = np.repeat(np.arange(n), np.diff(ends))
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    row, column = row[shared], column[shared]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    counts = np.zeros((n, n), np.float32)
+    width = max(1, COMPARE_CELLS // max(1, n))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, (low, low + width))
+        part = np.zeros((n, width), np.float32)
+        part[row[a:b], column[a:b] - low] = 1
+        counts += part @ part.T
+    return counts
+
+
+def _block_links(num, den):
+    def compare(table: pa.Table) -> pa.Table:
+        ids, labels = np.asarray(table.column("set_id")), np.asarray(table.column("component"))
+        lists = table.column("elements").combine_chunks()
+        sizes = np.asarray(lists.value_lengths()).astype(np.float64)
+        common = _common_counts(np.asarray(lists.flatten()), np.concatenate(([0], np.cumsum(sizes).astype(np.int64))))
+        union = sizes[:, None] + sizes[None, :] - common
+        found = _spanning(common * np.float64(den) >= union * num, labels)
+        a, b = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
+        return pa.table({"a": ids[a], "b": ids[b]})
+    return compare
+
+
+def _links_in_bundles(bundles, sets, num, den, block=BLOCK_ELEMENTS):
+    """Links between components, found by comparing all sets of a bundle block by block.
+
+    A bundle with more than `block` elements is dealt into blocks by hash, and each pair of blocks is a group of its own, so a
+    task holds the sets of two blocks at most. Of its links a group returns a spanning forest.
+    """
+    held = bundles.join(sets, "set_id")
+    parts = bundles.join(sets.select("set_id", F.size("elements").alias("n")), "set_id").groupBy("bundle").agg(
+        F.ceil(F.sum("n") / block).cast("int").alias("parts"))
+    held = held.join(parts, "bundle").withColumn("part", F.pmod(F.xxhash64("set_id", F.lit("part")), "parts").cast("int"))
+    other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = held.withColumn("other", other).withColumn("p", F.least("part", "other")).withColumn(
+        "q", F.greatest("part", "other"))
+    # A pair of different blocks holds both; a block alone is compared in its pair with the next one.
+    dealt = dealt.filter("parts = 1 OR p <> q")
+    return dealt.groupBy("bundle", "p", "q").applyInArrow(
+        lambda table: _block_links(num, den)(table), "a long, b long")
 
 
 def one_of_each_group(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col="doc_id",
