@@ -32,7 +32,8 @@ def allocate(low: int, high: int, most: int):
     """(segments, neighbourhoods, spare) for sets of low to high elements that differ in at most `most`.
 
     The cheapest number of keys: a whole segment is one key, a neighbourhood as many as its elements and two more. Few
-    segments have large neighbourhoods, many have empty segments, for which spare ones must be paid.
+    segments have large neighbourhoods, many have empty segments, for which spare ones must be paid. Where those would be too
+    many, all segments are whole and empty ones are indexed.
     """
     best = None
     for m in range(1, most + most // 4 + 8):
@@ -44,7 +45,7 @@ def allocate(low: int, high: int, most: int):
         cost = (m - raised) + raised * (high / m + 2)
         if best is None or cost < best[0]:
             best = (cost, m, raised, spare)
-    return best[1:]
+    return best[1:] if best else (most + 1, 0, 0)
 
 
 class Plan:
@@ -184,7 +185,8 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col="d
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_id"),
         _signer(n, num, den)(text_col).alias("s")).select("doc_id", "text_id", "s.*"))
     full = signed.filter("n > 0")
-    classes = stored(full.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n")))
+    classes = stored(full.groupBy("set_id").agg(
+        F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_id")).alias("row"), F.max("n").alias("n")))
     once = full.select("set_id", "doc_id", "keys").join(
         classes.select("set_id", F.col("first_id").alias("doc_id")), ["set_id", "doc_id"], "left_semi")
     keys = once.select("set_id", F.explode("keys").alias("key"))
@@ -216,11 +218,12 @@ def _near_sizes(pairs, classes, num, den):
 
 def _elements(docs, classes, wanted, n, id_col, text_col):
     """(set_id, elements) of the wanted classes, read again from one document of each."""
-    picked = stored(classes.join(wanted, "set_id").select("set_id", F.col("first_id").alias("_first")))
-    texts = docs.select(F.col(id_col).cast("long").alias("_first"), F.col(text_col).alias("_text"))
-    found = lookup_join(texts, picked, "_first", "inner")
-    read = found.select("set_id", _set_reader(n)("_text").alias("elements"))
-    return stored(read)
+    picked = stored(classes.join(wanted, "set_id").select(
+        "set_id", F.coalesce("row.doc_id", F.lit(0)).alias("_id"), F.col("row.text_id").alias("_tid")))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_id"),
+                        F.xxhash64(text_col).alias("_tid"), F.col(text_col).alias("_text"))
+    found = lookup_join(texts, picked, ["_id", "_tid"], "inner")
+    return stored(found.select("set_id", _set_reader(n)("_text").alias("elements")))
 
 
 def _bundles(members, found):
