@@ -187,8 +187,8 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col="d
     full = signed.filter("n > 0")
     classes = stored(full.groupBy("set_id").agg(
         F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_id")).alias("row"), F.max("n").alias("n")))
-    once = full.select("set_id", "doc_id", "keys").join(
-        classes.select("set_id", F.col("first_id").alias("doc_id")), ["set_id", "doc_id"], "left_semi")
+    once = full.select("set_id", F.struct("doc_id", "text_id").alias("row"), "keys").join(
+        classes.select("set_id", "row"), ["set_id", "row"], "left_semi")
     keys = once.select("set_id", F.explode("keys").alias("key"))
     common = keys.groupBy("key").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).filter("a < z")
     members = stored(keys.join(common.select("key", "a"), "key").select("key", "a", F.col("set_id").alias("b")))
