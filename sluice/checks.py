@@ -200,7 +200,8 @@ def order_files_newest_first(spark, sf_dir):
     """The order as a number, since a result set has no order."""
     listing = table(spark, sf_dir, "events").select(
         F.concat(F.lit("f"), "event_id").alias("path"), F.col("ts").alias("modified"))
-    return row_numbers(listing, [], [F.col("modified").desc(), F.col("path")], "place")
+    placed = files.order_files(listing, "desc").withColumn("_at", F.monotonically_increasing_id())
+    return row_numbers(placed, [], [F.col("_at")], "place").drop("_at")
 
 
 @check(f"""WITH {LISTING_SQL}, {LEDGER_SQL}, progress AS (
@@ -287,6 +288,43 @@ def stream_file_lines(spark, sf_dir):
     return read_messages(spark, f"{out}/messages")
 
 
+@check(FILE_LINES_SQL)
+def stream_with_future_file(spark, sf_dir):
+    """Files of two rounds, one of the first dated 30 days ahead: it hides none of the second."""
+    folder, out = scratch_dir(spark, "text"), scratch_dir(spark, "stream")
+    for part in (0, 1):
+        windows_text(spark, sf_dir).where(F.col("doc_id") % 2 == part).select("text").write.mode(
+            "append").text(folder)
+        if part == 0:
+            path = spark._jvm.org.apache.hadoop.fs.Path(files.list_files(spark, folder).select("path").first()[0])
+            ahead = spark.sql("SELECT unix_millis(current_timestamp() + INTERVAL 30 DAYS)").first()[0]
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).setTimes(path, ahead, -1)
+        lines = stream_lines(spark, folder, "app", include_pattern=r"^.*\.txt$")
+        stream_files(lines, f"{out}/messages", f"{out}/checkpoint", availableNow=True).awaitTermination()
+    return read_messages(spark, f"{out}/messages")
+
+
+class CrashingSource(FileSource):
+    """Fails between the delivery of a batch and its ledger."""
+
+    def finish(self, spark):
+        raise InterruptedError("after delivery")
+
+
+@check(FILE_LINES_SQL)
+def rerun_after_crash(spark, sf_dir):
+    """A batch in groups of files, whose first one crashes after delivery and is run again: each line once."""
+    folder, state = written_as_text(spark, sf_dir), scratch_dir(spark, "flow")
+    for source in (CrashingSource, FileSource):
+        flow = Pipeline("docs", source(folder, "app", r"^.*\.txt$", ledger_path=f"{state}/ledger", max_files=3),
+                        FileSink(f"{state}/out"), state)
+        try:
+            flow.run_batch(spark)
+        except InterruptedError:
+            pass
+    return read_messages(spark, f"{state}/out").select("topic", "data")
+
+
 @check(FILE_LINES_SQL)
 def resume_file_lines(spark, sf_dir):
     """Files read up to a line near their middle, then from the ledger's offset to their end."""
@@ -545,6 +583,20 @@ def throughput(spark, sf_dir):
         F.round(c, 6).alias(c) for c in ("rate_1m", "rate_5m", "rate_15m")])
 
 
+@check("""WITH b AS (
+  SELECT event_type AS topic, time_bucket(INTERVAL 20 SECOND, ts) AS bucket_start, count(*) AS n
+  FROM events GROUP BY 1, 2)
+SELECT topic, bucket_start, n,
+  round(sum(n) OVER (PARTITION BY topic ORDER BY epoch(bucket_start)
+    RANGE BETWEEN 40 PRECEDING AND CURRENT ROW) / 60, 6) AS rate_1m,
+  round(sum(n) OVER (PARTITION BY topic ORDER BY epoch(bucket_start)
+    RANGE BETWEEN 880 PRECEDING AND CURRENT ROW) / 900, 6) AS rate_15m
+FROM b""")
+def throughput_of_20_seconds(spark, sf_dir):
+    rates = counters.throughput(event_messages(spark, sf_dir, "ts"), "ts", 20)
+    return rates.select("topic", "bucket_start", "n", *[F.round(c, 6).alias(c) for c in ("rate_1m", "rate_15m")])
+
+
 @check("""SELECT event_type AS topic, count(*) AS n,
   (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000 AS seconds,
   round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000), 6) AS mean_rate

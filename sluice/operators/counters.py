@@ -65,8 +65,11 @@ def throughput(msgs: DataFrame, ts_col: str, bucket_seconds: int = 5) -> DataFra
 
     The rates are plain means over the minutes that end with the bucket. Messages are counted
     per bucket first, and a window holds the buckets of one topic and day. The last buckets of
-    a day are also given to the next day, whose first rates reach back to them.
+    a day are also given to the next day, whose first rates reach back to them. A rate covers
+    whole buckets, so the bucket must divide a minute.
     """
+    if bucket_seconds < 1 or 60 % bucket_seconds:
+        raise ValueError(f"bucket_seconds must divide 60, not {bucket_seconds}")
     start = interval_start(msgs, ts_col, bucket_seconds)
     buckets = msgs.groupBy("topic", start.alias("bucket_start")).agg(F.count(F.lit(1)).alias("n"))
     buckets = buckets.withColumn("_at", epoch_micros(buckets, "bucket_start"))

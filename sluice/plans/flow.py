@@ -46,18 +46,24 @@ class Pipeline:
     def run_batch(self, spark: SparkSession, persist: bool = False) -> dict:
         """Deliver all that waits now. Counting scans the source again, unless `persist` is set.
 
-        For a large backlog, `start(availableNow=True)` with a limit per micro-batch keeps what
-        is persisted small.
+        A file source gives its backlog in groups of files, and its ledger is saved after each.
+        A group is named by the ledger it started from, so one that is tried again after a
+        failure replaces the files, failures and counts of its first try.
         """
-        msgs = self.source.batch(spark)
-        if persist:
-            msgs.persist(StorageLevel.DISK_ONLY)
-        try:
-            totals = self._deliver(msgs, uuid.uuid4().hex, 0)
-        finally:
-            msgs.unpersist()
-        self.source.finish(spark)
-        return totals
+        totals = {}
+        while True:
+            msgs = self.source.batch(spark)
+            run = getattr(self.source, "run_id", None) or uuid.uuid4().hex
+            if persist:
+                msgs.persist(StorageLevel.DISK_ONLY)
+            try:
+                part = self._deliver(msgs, run, 0)
+            finally:
+                msgs.unpersist()
+            self.source.finish(spark)
+            totals = {event: totals.get(event, 0) + n for event, n in part.items()}
+            if not getattr(self.source, "more", False):
+                return totals
 
     def start(self, spark: SparkSession, checkpoint: str | None = None, **trigger):
         """Start the stream. Progress is saved only after the batch is delivered and counted."""
@@ -90,6 +96,8 @@ class Pipeline:
             counts = counts.unionByName(
                 count_messages(done.failed, f"{self.name}-{self.sink.name}")
                 .withColumn("event", F.lit("failed")))
+        if done.skipped is not None:
+            counts = counts.unionByName(done.skipped.withColumn("event", F.lit("skipped")))
         write_counters(counts.withColumn("counted_at", F.current_timestamp()), folder,
                        mode="overwrite")
         written = spark.read.parquet(folder)
@@ -97,15 +105,14 @@ class Pipeline:
             self.exporter(written)
         totals = {row["event"]: row["n"] for row in
                   written.groupBy("event").agg(F.sum("delta").alias("n")).collect()}
-        totals = {event: totals.get(event, 0) for event in ("read", "written", "failed")}
-        totals["skipped"] = done.skipped
+        totals = {event: totals.get(event, 0) for event in ("read", "written", "failed", "skipped")}
         totals["dropped"] = totals["read"] - sum(
             totals[event] for event in ("written", "failed", "skipped"))
         LOG.info("%s batch %s: %s", self.name, batch_id, totals)
         return totals
 
     def counts(self, spark: SparkSession, event: str) -> DataFrame:
-        """All counts of one kind: read, written or failed."""
+        """All counts of one kind: read, written, failed or skipped."""
         return spark.read.parquet(self.counters).where(F.col("event") == event)
 
 

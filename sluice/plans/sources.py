@@ -12,22 +12,29 @@ from sluice.operators.lines import tag_category
 from sluice.schema import LEDGER
 from sluice.sources.cleanup import delete_files
 from sluice.sources.files import (
-    DEFAULT_PATTERN, DEFAULT_RETENTION_SECONDS, lines_of, list_files, match_files, read_pending,
+    DEFAULT_PATTERN, DEFAULT_RETENTION_SECONDS, lines_of, list_files, match_files, order_files,
+    read_pending,
     split_expired, unread_files, with_record_number)
 from sluice.sources.kafka import read_kafka, stream_kafka
-from sluice.sources.ledger import advance_ledger, completed, load_ledger, save_ledger
+from sluice.sources.ledger import advance_ledger, completed, latest_snapshot, load_ledger, save_ledger
 from sluice.streaming.files import stream_records
 
 
+MAX_FILES = 1000
+
+
 class FileSource:
-    """A watched folder. A batch reads what the ledger at `ledger_path` has not seen yet."""
+    """A watched folder. A batch reads what the ledger at `ledger_path` has not seen yet.
+
+    `max_files` bounds a micro-batch, and a group of a batch with a ledger; groups follow `order`.
+    """
 
     name = "FileSource"
 
     def __init__(self, directory: str, category: str, include_pattern: str = DEFAULT_PATTERN,
                  retention_seconds: int = DEFAULT_RETENTION_SECONDS, order: str = "asc",
                  delete_after_read: bool = False, ledger_path: str | None = None,
-                 max_files: int | None = None, scan_seconds: int = 30, exact: bool = True):
+                 max_files: int | None = MAX_FILES, scan_seconds: int = 30, exact: bool = True):
         self.directory, self.category = directory, category
         self.include_pattern, self.retention_seconds = include_pattern, retention_seconds
         self.order, self.delete_after_read = order, delete_after_read
@@ -40,15 +47,29 @@ class FileSource:
         return split_expired(matching, datetime.now(timezone.utc), self.retention_seconds)
 
     def batch(self, spark: SparkSession) -> DataFrame:
-        self._live, _ = self.listing(spark)
+        self._all, _ = self.listing(spark)
+        self._live = self._all
+        self.run_id, self.more = None, False
         self._ledger = load_ledger(spark, self.ledger_path) if self.ledger_path else \
             spark.createDataFrame([], LEDGER)
+        if self.ledger_path:
+            self.run_id = latest_snapshot(spark, self.ledger_path) or "first"
+            if self.max_files:
+                self._live = self._next_group(spark)
         return read_pending(spark, self._live, self._ledger, self.category, self.exact)
 
+    def _next_group(self, spark):
+        """The first `max_files` files that the ledger has not seen completed."""
+        done = self._ledger.where("completed").select("path")
+        waiting = order_files(self._live.join(done, "path", "left_anti"), self.order)
+        group = waiting.limit(self.max_files + 1).collect()
+        self.more = len(group) > self.max_files
+        return spark.createDataFrame(group[:self.max_files], self._live.schema)
+
     def finish(self, spark: SparkSession) -> None:
         """Record that the files of the last batch are read, then delete them if so configured."""
         if self.ledger_path:
-            save_ledger(advance_ledger(self._ledger, completed(self._live), self._live),
+            save_ledger(advance_ledger(self._ledger, completed(self._live), self._all),
                         self.ledger_path)
         if self.delete_after_read:
             delete_files(self._live, self.directory, dry_run=False)

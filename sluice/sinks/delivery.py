@@ -19,7 +19,7 @@ class Delivery:
     """Counts per topic of delivered messages, failed messages, and the number of skipped ones."""
     counts: DataFrame
     failed: DataFrame | None = None
-    skipped: int = 0
+    skipped: DataFrame | None = None
 
 
 def deliver(msgs: DataFrame, send: Callable[[DataFrame], DataFrame], folder: str):
@@ -92,4 +92,4 @@ class EndpointSink:
         return Delivery(
             count_messages(outcome.where("status = 'delivered'"), f"{pipeline}-{self.name}"),
             outcome.where("status = 'failed'").select("topic", "data", "error"),
-            outcome.where("status = 'skipped'").count())
+            count_messages(outcome.where("status = 'skipped'"), f"{pipeline}-{self.name}"))

@@ -30,15 +30,21 @@ class EndpointOptions:
     max_interval_ms: int = 1000
     retries: int = 3
     all_down_wait_ms: int = 60_000
+    try_later_wait_ms: int = 100
 
 
 class Sender:
-    """Batches, retries and fails over. `seed` fixes the choice of hosts for a partition."""
+    """Batches, retries and fails over. `seed` fixes the choice of hosts for a partition.
+
+    When no host accepts a connection after `retries` rounds, the sender gives up: all further
+    batches of the partition fail at once, so a partition waits `retries` - 1 times at most.
+    """
 
     def __init__(self, client_factory: Callable, options: EndpointOptions, seed: int = 0):
         self.factory, self.options = client_factory, options
         self.random = random.Random(seed)
         self.hosts, self.client, self.host = list(options.hosts), None, None
+        self.given_up = None
 
     def connect(self) -> None:
         """Try hosts at random. When all have failed, wait and start over, `retries` times."""
@@ -64,18 +70,21 @@ class Sender:
 
     def send(self, batch: list) -> str | None:
         """Send one batch; returns None, or the reason why it could not be sent."""
-        reason = None
-        for _ in range(self.options.retries):
+        reason = self.given_up
+        for tried in range(0 if self.given_up else self.options.retries):
             if self.client is None:
                 try:
                     self.connect()
                 except ConnectionError as failure:
-                    return str(failure)
+                    self.given_up = str(failure)
+                    return self.given_up
             try:
                 if self.client.send(batch) is not False:
                     self.hosts = list(self.options.hosts)
                     return None
                 reason = f"{self.host} asked to try later"
+                if tried + 1 < self.options.retries:
+                    time.sleep(self.options.try_later_wait_ms / 1000)
             except Exception as failure:
                 reason = f"{self.host}: {failure!r}"
                 self.drop(exclude=True)

@@ -20,13 +20,16 @@ def expire_older_than_days(listing: DataFrame, now, days: int = 6) -> DataFrame:
     return listing.where(age >= F.lit((days + 1) * 86_400_000_000))
 
 
+def _resolved(uri):
+    """(scheme, host, path) with `.`, `..` and repeated slashes resolved."""
+    plain = urlsplit(uri.replace("?", "%3F").replace("#", "%23"))
+    return plain.scheme or "file", plain.netloc, posixpath.normpath("/" + plain.path.lstrip("/")) if (
+        plain.path.startswith("/")) else posixpath.normpath(plain.path)
+
+
 def inside(path: str, root: str) -> bool:
     """True if `path` lies below `root` once `..` is resolved."""
-    def parts(uri):
-        plain = urlsplit(uri.replace("?", "%3F").replace("#", "%23"))
-        return plain.scheme or "file", plain.netloc, posixpath.normpath(plain.path)
-
-    (scheme, host, name), (root_scheme, root_host, root_name) = parts(path), parts(root)
+    (scheme, host, name), (root_scheme, root_host, root_name) = _resolved(path), _resolved(root)
     return (scheme, host) == (root_scheme, root_host) and name.startswith(
         root_name.rstrip("/") + "/")
 
@@ -42,7 +45,7 @@ def delete_files(listing: DataFrame, root: str, dry_run: bool = True) -> int:
     All paths are checked before the first file goes. Paths are streamed from the executors in
     partitions; file systems take deletions one by one, so the calls are made here.
     """
-    if root.strip("/") == "":
+    if not root.strip() or _resolved(root)[2] in ("/", ".") or _resolved(root)[2].startswith(".."):
         raise ValueError("refusing to delete below the root of the file system")
     spark = listing.sparkSession
     paths = listing.select("path").distinct().persist()

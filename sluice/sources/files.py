@@ -8,6 +8,7 @@ Spark does not list empty files and names that start with `_` or `.`.
 import re
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,11 +54,13 @@ def folder_uri(spark: SparkSession, directory: str, encoded: bool = False) -> st
 def list_files(spark: SparkSession, directory: str, recursive: bool = False) -> DataFrame:
     """path, file_name, modified and length of the regular files in a folder.
 
-    Only the listing is read: the file contents are pruned from the scan.
+    Only the listing is read: the file contents are pruned from the scan. Files that go
+    meanwhile are left out.
     """
     folder = folder_uri(spark, directory)
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        .option("ignoreMissingFiles", "true")
         .load(escape_glob(directory))
         .select("path", F.substring_index("path", "/", -1).alias("file_name"),
                 F.col("modificationTime").alias("modified"), "length")
@@ -105,9 +108,11 @@ def delimited(reader, paths, folder: str | None = None, whole_file: bool = False
 
     Records end at line feeds, so large files are split over tasks. With `whole_file` a file
     is one record and must fit in memory. `folder` (encoded) leaves out files of subfolders.
+    Files that go between listing and reading are skipped.
     """
     meta = F.col("_metadata")
-    records = reader.text(paths, wholetext=whole_file, lineSep="\n")
+    records = reader.option("ignoreMissingFiles", "true").text(
+        paths, wholetext=whole_file, lineSep="\n")
     if folder is not None:
         records = records.where(
             meta["file_path"] == F.concat(F.lit(folder + "/"), meta["file_name"]))
@@ -122,14 +127,27 @@ def scan_files(spark: SparkSession, files) -> DataFrame:
     """The records of a list of files, or of the `path` column of a listing.
 
     The paths (and nothing else) pass through the driver, where Spark's own file index needs
-    them in any case.
+    them in any case; `Pipeline.run_batch` gives it bounded groups. Files that have gone are skipped.
     """
     if isinstance(files, DataFrame):
         files = [row["path"] for row in files.select("path").toLocalIterator()]
-    if not files:
-        return spark.createDataFrame([], RECORD)
     reader = spark.read.option("recursiveFileLookup", "true")
-    return with_record_number(delimited(reader, [escape_glob(f) for f in files]))
+    for still in (lambda: files, lambda: [f for f in files if _exists(spark, f)]):
+        there = still()
+        if not there:
+            return spark.createDataFrame([], RECORD)
+        try:
+            return with_record_number(delimited(reader, [escape_glob(f) for f in there]))
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            failure = missing
+    raise failure
+
+
+def _exists(spark, path):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def scan_directory(spark: SparkSession, directory: str, include_pattern: str = DEFAULT_PATTERN,

@@ -58,10 +58,15 @@ def save_ledger(ledger: DataFrame, path: str) -> str:
     return snapshot
 
 
+def latest_snapshot(spark: SparkSession, path: str) -> str | None:
+    """The name of the latest announced snapshot; it names the state that a batch starts from."""
+    marker = _read_or_none(spark, f"{path}/announced", "snapshot string")
+    return marker.agg(F.max("snapshot")).first()[0] if marker is not None else None
+
+
 def load_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The latest announced snapshot, or an empty ledger where none was ever saved."""
-    marker = _read_or_none(spark, f"{path}/announced", "snapshot string")
-    latest = marker.agg(F.max("snapshot")).first()[0] if marker is not None else None
+    latest = latest_snapshot(spark, path)
     if latest is None:
         return spark.createDataFrame([], LEDGER)
     return spark.read.schema(LEDGER).parquet(f"{path}/snapshots/{latest}")

@@ -12,7 +12,9 @@ from sluice.sources.files import (
     DEFAULT_PATTERN, DEFAULT_RETENTION_SECONDS, delimited, escape_glob, folder_uri, full_match,
     record_pieces)
 
-DAY = 86_400
+# Spark's age limit counts back from the newest file and skips in silence; a file with a wrong
+# date must not hide others, so the limit is set beyond any age.
+NO_AGE_LIMIT = "36500d"
 
 
 def exact_glob(pattern: str) -> str | None:
@@ -34,8 +36,7 @@ def stream_records(spark: SparkSession, directory: str, include_pattern: str = D
                    whole_files: bool = False) -> DataFrame:
     """New records of matching live files: RECORD columns without `rec`, which streams lack.
 
-    Spark's own age limit is relative to the newest file and skips in silence, so it is set
-    well beyond the retention. `delete_after_read` leaves the deletion to the file source, which
+    Only the retention decides which files are too old. `delete_after_read` leaves the deletion to the file source, which
     deletes all files that it lists; it is refused unless it lists the matching files only.
     """
     if order not in ("asc", "desc"):
@@ -46,9 +47,8 @@ def stream_records(spark: SparkSession, directory: str, include_pattern: str = D
         raise ValueError(f"delete after read needs a pattern like ^.*\\.log$, not {include_pattern}")
     if delete_after_read and _partition_folders(spark, directory):
         raise ValueError(f"delete after read: {directory} holds key=value folders")
-    age = 36_500 * DAY if retention_seconds is None else max(7 * DAY, 2 * retention_seconds)
     reader = spark.readStream.option("latestFirst", str(order == "desc").lower()).option(
-        "maxFileAge", f"{age}s")
+        "maxFileAge", NO_AGE_LIMIT)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
     if glob:

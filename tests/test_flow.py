@@ -94,7 +94,7 @@ def test_accounting_over_all_ends(spark, folder, tmp_path):
     assert rows(letters.select("pipeline", "topic", "data")) == [("p:1", "b:c", "fail")]
     assert {(r.name, r.topic, r.event, r.delta) for r in exported} == {
         ("p:1-FileSource", "a", "read", 5), ("p:1-EndpointSink", "b:c", "written", 2),
-        ("p:1-EndpointSink", "b:c", "failed", 1)}
+        ("p:1-EndpointSink", "b:c", "failed", 1), ("p:1-EndpointSink", "b:c", "skipped", 1)}
     compared = reconcile(flow.counts(spark, "read"), flow.counts(spark, "written"), {"a": "b:c"})
     assert rows(compared) == [("b:c", 5, 2, 3)]
 
