@@ -181,6 +181,11 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col="d
     No pairs within a group are made: each key's sets are first compared with the smallest of them only, and links
     merge into components. Then only sets of keys that several components hold are compared, in blocks of bounded size.
     """
+    with W.small_batches(docs.sparkSession):
+        return _linked(docs, n, num, den, id_col, text_col)
+
+
+def _linked(docs, n, num, den, id_col, text_col):
     signed = stored(docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_id"),
         _signer(n, num, den)(text_col).alias("s")).select("doc_id", "text_id", "s.*"))

@@ -4,6 +4,8 @@ A word is a longest run of bytes other than space, tab, LF, VT, FF and CR; A-Z c
 Memory is bounded by the texts of one slice: a few MB, or one document if that is longer.
 """
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 
@@ -124,6 +126,19 @@ def shingles(hashes, bounds, n: int, short: bool = True):
     return out, np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
 
 
+@contextmanager
+def small_batches(spark, rows: int = 500):
+    """While jobs run in here, at most `rows` rows go to Python at once, as these rows hold whole sets of shingles."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def texts_of(texts) -> pa.Array:
     """A list of Python texts as a column; used by tests and small query sets."""
     return pa.array(texts, pa.string())
