@@ -271,6 +271,19 @@ def read_file_lines(spark, sf_dir):
     return files.read_lines(spark, matching, "app").select("topic", "data")
 
 
+@check(FILE_LINES_SQL.replace(
+    "string_split_regex(replace(",
+    "string_split_regex(CASE WHEN doc_id % 3 > 0 THEN chr(65279) ELSE '' END || replace("))
+def read_files_with_odd_ends(spark, sf_dir):
+    """Files that end with a bare carriage return, start with a byte order mark, or both, read exactly."""
+    folder, docs = scratch_dir(spark, "text"), windows_text(spark, sf_dir)
+    for part, (mark, end) in enumerate([("", "\r"), (files.MARK, "\n"), (files.MARK, "\r")]):
+        docs.where(F.col("doc_id") % 3 == part).select(F.concat(F.lit(mark), "text").alias("value")).write.mode(
+            "append").option("lineSep", end).text(folder)
+    listing = files.match_files(files.list_files(spark, folder), r"part-.*\.txt")
+    return files.read_lines(spark, listing, "app").select("topic", "data")
+
+
 @check(FILE_LINES_SQL)
 def scan_directory_lines(spark, sf_dir):
     folder = written_as_text(spark, sf_dir)

@@ -56,12 +56,11 @@ def stored(df: DataFrame) -> DataFrame:
 def computed_once(df: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """The rows of a costly table, so that using it twice does not compute it twice.
 
-    Up to `local_rows` rows are kept in the plan; a larger table is stored in the shared folder.
+    It is stored in the shared folder; up to `local_rows` rows are then kept in the plan.
     """
-    rows = df.limit(local_rows + 1).collect()
-    if len(rows) <= local_rows:
-        return df.sparkSession.createDataFrame(rows, df.schema)
-    return stored(df)
+    table = stored(df)
+    rows = table.limit(local_rows + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= local_rows else table
 
 
 def null_safe_lookup(big: DataFrame, small: DataFrame, on: list, how="left", **limits) -> DataFrame:

@@ -12,15 +12,15 @@ def row_numbers(df: DataFrame, lanes: list, order: list, out: str,
                 one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """Number the rows of each lane from 1 in `order` (make it total for a fixed result).
 
-    A window sorts each lane in one task. That is right while the largest lane is small,
-    which is counted first; beyond it the rows are numbered range by range.
+    Without lanes, rows are numbered range by range. A window sorts each lane in one task, which
+    is right while the largest lane is small: lanes are counted first, and numbered range by range
+    if one has more than `one_task_rows`. The numbers are the same either way.
     """
-    sizes = df.groupBy(*lanes).agg(F.count(F.lit(1)).alias("n")) if lanes else \
-        df.agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest <= one_task_rows:
-        window = Window.partitionBy(*lanes) if lanes else Window.partitionBy(F.lit(0))
-        return df.withColumn(out, F.row_number().over(window.orderBy(*order)).cast("bigint"))
+    if lanes:
+        sizes = df.groupBy(*lanes).agg(F.count(F.lit(1)).alias("n"))
+        if (sizes.agg(F.max("n")).first()[0] or 0) <= one_task_rows:
+            window = Window.partitionBy(*lanes).orderBy(*order)
+            return df.withColumn(out, F.row_number().over(window).cast("bigint"))
     return _number_by_range(df, lanes, order, out)
 
 

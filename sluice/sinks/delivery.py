@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.functions.joins import stored
 from sluice.operators.counters import count_messages
 from sluice.operators.deadletter import batch_folder
 from sluice.sinks.endpoint import EndpointOptions, deliver_to_endpoint
@@ -49,12 +50,17 @@ class FileSink:
 
 
 class KafkaSink:
-    """One record per message. A failed write fails the batch, which is then tried again."""
+    """One record per message. A failed write fails the batch, which is then tried again.
+
+    A source may grow and a converter need not repeat itself, so the messages are stored first:
+    what is counted is what was sent.
+    """
 
     def __init__(self, conf: dict):
         self.conf, self.name = conf, "KafkaSink"
 
     def deliver(self, msgs: DataFrame, pipeline: str, run: str, batch_id: int) -> Delivery:
+        msgs = stored(msgs)
         write_kafka(msgs, self.conf)
         return Delivery(count_messages(msgs, f"{pipeline}-{self.name}"))
 

@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluice.functions.joins import computed_once, lookup_join
+from sluice.functions.joins import computed_once, lookup_join, stored
 from sluice.functions.text import (
     byte_length, cuttable, piece_bytes, piece_text, with_running_total)
 from sluice.functions.times import older_than
@@ -54,20 +54,19 @@ def folder_uri(spark: SparkSession, directory: str, encoded: bool = False) -> st
 def list_files(spark: SparkSession, directory: str, recursive: bool = False) -> DataFrame:
     """path, file_name, modified and length of the regular files in a folder.
 
-    Only the listing is read: the file contents are pruned from the scan. Files that go
-    meanwhile are left out.
+    Only the listing is read: the file contents are pruned from the scan, and filters on these
+    columns prune files from the listing. Files that go meanwhile are left out.
     """
-    folder = folder_uri(spark, directory)
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("ignoreMissingFiles", "true")
-        .load(escape_glob(directory))
-        .select("path", F.substring_index("path", "/", -1).alias("file_name"),
-                F.col("modificationTime").alias("modified"), "length")
-    )
+    folder = folder_uri(spark, directory, encoded=True)
+    meta = F.col("_metadata")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+        "ignoreMissingFiles", "true").load(escape_glob(directory))
     # Without recursive lookup, folders named like key=value would be read as partitions.
-    return files if recursive else files.where(
-        F.col("path") == F.concat(F.lit(folder + "/"), "file_name"))
+    if not recursive:
+        files = files.where(meta["file_path"] == F.concat(F.lit(folder + "/"), meta["file_name"]))
+    return files.select(
+        uri_decoded(meta["file_path"]).alias("path"), uri_decoded(meta["file_name"]).alias("file_name"),
+        meta["file_modification_time"].alias("modified"), meta["file_size"].alias("length"))
 
 
 def match_files(listing: DataFrame, include_pattern: str = DEFAULT_PATTERN) -> DataFrame:
@@ -229,33 +228,42 @@ def _shape(total: Column, size: Column):
 
 
 def _with_file_ends(records):
-    """Flag the records that need care: `_bare` (no line feed at the end) and `_marked`."""
+    """Flag the records that need care: `_bare` (no line feed at the end) and `_marked`.
+
+    The totals show which files are odd, however a scan is split. The place of a record does
+    depend on the split, so odd files, nearly always none, are stored with their places and
+    flagged there. The records of all other files stay in the scan.
+    """
     place = F.struct("block", "rec")
-    total, size = F.col("_total"), F.col("_size")
-    unterminated, marked = _shape(total, size)
-    odd = records.groupBy("file_path").agg(
+    unterminated, marked = _shape(F.col("_total"), F.col("_size"))
+    odd = computed_once(records.groupBy("file_path").agg(
         F.sum(byte_length("value") + 1).alias("_total"), F.max("file_size").alias("_size"),
-        F.min(place).alias("_first"), F.max(place).alias("_last"),
         F.max_by(F.endswith("value", F.lit("\r")), place).alias("_return"),
-    ).select("file_path", F.when(unterminated & F.col("_return"), F.col("_last")).alias("_last"),
-             F.when(marked, F.col("_first")).alias("_first")
-    ).where(F.col("_last").isNotNull() | F.col("_first").isNotNull())
+    ).select("file_path", (unterminated & F.col("_return")).alias("_open"), marked.alias("_mark")
+    ).where("_open OR _mark"))
 
-    def at(column):
-        return F.coalesce(place == F.col(column), F.lit(False))
+    def plain(part):
+        return part.withColumn("_bare", F.lit(False)).withColumn("_marked", F.lit(False))
 
-    # The totals of all files are behind this table, which is nearly always empty.
-    return lookup_join(records, computed_once(odd), "file_path", "left").withColumn(
-        "_bare", at("_last")).withColumn("_marked", at("_first")).drop("_first", "_last")
+    if odd.isEmpty():
+        return plain(records)
+    kept = stored(lookup_join(records, odd, "file_path", "inner"))
+    ends = kept.groupBy("file_path").agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
+    flagged = lookup_join(kept, ends, "file_path", "inner").withColumn(
+        "_bare", F.col("_open") & (place == F.col("_last"))).withColumn(
+        "_marked", F.col("_mark") & (place == F.col("_first")))
+    others = plain(lookup_join(records, odd.select("file_path"), "file_path", "left_anti"))
+    return others.unionByName(flagged.select(*others.columns))
 
 
 def _with_record_ends(records):
     """Add `_end`, the byte position after each record's line feed, as if each had one.
 
     A file may hold a third of all records: they are totalled per (file, block), where a block
-    is an input split, and only the records of one block are accumulated together.
+    is an input split, and only the records of one block are accumulated together. Blocks must
+    be the same in both uses, so the records are stored first.
     """
-    sized = records.withColumn("_key", F.struct("file_path", "block")).withColumn(
+    sized = stored(records).withColumn("_key", F.struct("file_path", "block")).withColumn(
         "_bytes", byte_length("value") + 1)
     file = Window.partitionBy("_key.file_path")
     earlier = file.orderBy("_key.block").rowsBetween(Window.unboundedPreceding, -1)

@@ -117,6 +117,32 @@ def test_read_lines_over_many_splits(spark, folder, small_splits, mode):
             assert ends[-1] == len(content)
 
 
+@pytest.mark.parametrize("mode", [{}, {"offsets": True}])
+@pytest.mark.parametrize("planned, run", [(4, 40), (40, 4)])
+def test_lines_do_not_depend_on_the_split_layout(spark, folder, mode, planned, run):
+    body = b"".join(b"%d\r\n" % i for i in range(3000))
+    contents = {"a.log": body + b"end\r", "b.log": b"\xef\xbb\xbf" + body + b"end\r",
+                "c.log": body + b"end", "d.log": body}
+    cores = "spark.sql.leafNodeDefaultParallelism"
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set(cores, str(planned))
+        records = scan_files(spark, list_files(spark, folder(contents)))
+        before, lines = records.rdd.getNumPartitions(), lines_of(records, **mode)
+        spark.conf.set(cores, str(run))
+        assert records.select("*").rdd.getNumPartitions() != before
+        got = in_order(lines)
+    finally:
+        spark.conf.unset(cores)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    for name, content in contents.items():
+        mine = [r for r in got if r.file_path.endswith("/" + name)]
+        wanted, ends = expected(content)
+        assert [r.line for r in mine] == wanted, name
+        if mode:
+            assert [r.end_offset for r in mine] == ends
+
+
 def test_fast_reading_is_one_narrow_scan(spark, folder):
     root = folder({"a.log": b"x\r\ny\n"})
     lines = lines_of(scan_files(spark, list_files(spark, root)), exact=False)

@@ -4,10 +4,12 @@ import os
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.operators.counters import throughput
 from sluice.plans.flow import Pipeline
 from sluice.plans.sources import FileSource
+from sluice.sinks import delivery
 from sluice.sinks.delivery import FileSink
 from sluice.sinks.endpoint import EndpointOptions, Sender
 from sluice.sinks.files import read_messages
@@ -95,3 +97,13 @@ def test_buckets_divide_a_minute(spark):
     for seconds in (0, 7, 120):
         with pytest.raises(ValueError):
             throughput(msgs, "ts", seconds)
+
+
+def test_kafka_counts_what_was_sent(spark, monkeypatch):
+    sent = []
+    monkeypatch.setattr(delivery, "write_kafka", lambda msgs, conf: sent.extend(msgs.collect()))
+    changing = F.udf(lambda i: str(time.time_ns())).asNondeterministic()
+    msgs = spark.range(20).select(changing("id").alias("topic"), F.lit("x").alias("data"))
+    done = delivery.KafkaSink({}).deliver(msgs, "p", "r", 0)
+    assert {r.topic for r in sent} == {r.topic for r in done.counts.collect()}
+    assert len(sent) == done.counts.agg(F.sum("delta")).first()[0] == 20
