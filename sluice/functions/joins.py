@@ -11,6 +11,7 @@ from sluice.session import scratch_dir
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
 LOCAL_ROWS = 10_000
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def fits_broadcast(df: DataFrame, max_rows=BROADCAST_ROWS, max_bytes=BROADCAST_BYTES) -> bool:
@@ -47,10 +48,20 @@ def lookup_join(big: DataFrame, small: DataFrame, on, how="left", **limits) -> D
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The table, written to the shared folder and read from there."""
-    folder = scratch_dir(df.sparkSession, "table")
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    """The table, written to the shared folder and read from there.
+
+    Shuffle files of the write are of no use once it has ended, and go at once; Spark would
+    keep them on the executors' disks until the driver's memory is collected.
+    """
+    spark = df.sparkSession
+    folder = scratch_dir(spark, "table")
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def computed_once(df: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
