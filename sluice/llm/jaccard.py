@@ -22,6 +22,7 @@ from sluice.llm import words as W
 from sluice.llm.graph import components
 
 BAND_STEPS = 3
+STAR_ROUNDS = 3
 BLOCK_ELEMENTS = 500_000
 COMPARE_CELLS = 4 << 20
 _RANDOM = 0xD6E8FEB86659FD93
@@ -178,8 +179,9 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col="d
     no smallest id; a group of only null ids has a null component. An empty table gives no rows. Sets are compared as
     64-bit hashes of shingles and classes as 64-bit hashes of sets.
 
-    No pairs within a group are made: each key's sets are first compared with the smallest of them only, and links
-    merge into components. Then only sets of keys that several components hold are compared, in blocks of bounded size.
+    No pairs within a group are made: each key's sets are compared with the smallest of them only, and links merge into
+    components. That set then leaves the key, and keys that several components still hold have further rounds of the
+    same kind. What is not settled by then is compared in blocks of bounded size.
     """
     with W.small_batches(docs.sparkSession):
         return _linked(docs, n, num, den, id_col, text_col)
@@ -202,7 +204,16 @@ def _linked(docs, n, num, den, id_col, text_col):
     sets = _elements(docs, classes, wanted, n, id_col, text_col)
     links = stored(_verified(_near_sizes(stars, classes, num, den), sets, num, den))
     found = stored(components(links))
-    more = _links_in_bundles(_bundles(members, found), sets, num, den)
+    left = members.filter("a < b")  # a set that was compared with all others of its key can leave the key
+    for _ in range(STAR_ROUNDS):
+        left = stored(_unsettled(left, found))
+        pairs = left.filter("component <> of_a").select("a", "b").distinct()
+        new = stored(_verified(_near_sizes(pairs, classes, num, den), sets, num, den))
+        left = left.filter("a < b")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            found = stored(components(links))
+    more = _links_in_bundles(_bundles(left, found), sets, num, den)
     found = stored(components(links.unionByName(more)))
     label = F.coalesce("component", "set_id")
     placed = classes.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", label)
@@ -231,13 +242,19 @@ def _elements(docs, classes, wanted, n, id_col, text_col):
     return stored(found.select("set_id", _set_reader(n)("_text").alias("elements")))
 
 
+def _unsettled(members, found):
+    """(key, a, of_a, b, component) of keys that hold more than one component; a is the smallest set of the key, of_a its own."""
+    label = found.withColumnRenamed("node", "b")
+    placed = members.select("key", "b").join(label, "b", "left").withColumn("component", F.coalesce("component", "b"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                      F.min(F.struct("b", "component")).alias("least")).filter("lo < hi")
+    return placed.join(mixed.select("key", F.col("least.b").alias("a"), F.col("least.component").alias("of_a")), "key").select(
+        "key", "a", "of_a", "b", "component")
+
+
 def _bundles(members, found):
     """(set_id, component, bundle): sets of keys that more than one component holds; such keys' sets are one bundle."""
-    label = found.withColumnRenamed("node", "b")
-    placed = members.join(label, "b", "left").withColumn("component", F.coalesce("component", "b"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter(
-        "lo < hi").select("key")
-    placed = stored(placed.join(mixed, "key").select("a", "b", "component").distinct())
+    placed = stored(_unsettled(members, found).select("a", "b", "component").distinct())
     bundle = components(placed.select("a", "b"))
     sets = placed.select(F.col("b").alias("node"), "component").distinct()
     return stored(sets.join(bundle.withColumnRenamed("component", "bundle"), "node").withColumnRenamed("node", "set_id"))
