@@ -1,6 +1,8 @@
 """Joins that fit both a small and a large lookup side."""
 
 import operator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -12,6 +14,7 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
 LOCAL_ROWS = 10_000
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_SCOPE: ContextVar = ContextVar("scratch_tables", default=None)
 
 
 def fits_broadcast(df: DataFrame, max_rows=BROADCAST_ROWS, max_bytes=BROADCAST_BYTES) -> bool:
@@ -47,14 +50,37 @@ def lookup_join(big: DataFrame, small: DataFrame, on, how="left", **limits) -> D
     return big.join(stored(small), on, how)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The table, written to the shared folder and read from there.
+@contextmanager
+def scratch_tables(spark):
+    """Tables that `stored` writes in here are removed at the end.
+
+    One stored with `keep` belongs to the scope around this one, or stays where there is none. A table that is
+    not computed yet must not read a removed one: store what leaves the scope.
+    """
+    own = []
+    token = _SCOPE.set((own, _SCOPE.get()))
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for folder in own:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
+    """The table, written to the shared folder and read from there; see `scratch_tables` for how long.
 
     Shuffle files of the write are of no use once it has ended, and go at once; Spark would
     keep them on the executors' disks until the driver's memory is collected.
     """
     spark = df.sparkSession
     folder = scratch_dir(spark, "table")
+    scope = _SCOPE.get()
+    if scope and keep:
+        scope = scope[1]
+    if scope:
+        scope[0].append(folder)
     before = spark.conf.get(SHUFFLE_CLEANUP)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
