@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions.joins import stored
+from sluice.functions.joins import scratch_tables, stored
 
 
 def components(links: DataFrame, a="a", b="b") -> DataFrame:
@@ -13,6 +13,11 @@ def components(links: DataFrame, a="a", b="b") -> DataFrame:
     halves the depth. A node's smallest neighbour is a pre-aggregated minimum, so a node with many links is not gathered.
     Null nodes and links of a node to itself are left out. No links, no rows.
     """
+    with scratch_tables(links.sparkSession):
+        return stored(_components(links, a, b), keep=True)
+
+
+def _components(links, a, b):
     edges = stored(links.select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")).filter(
         "low < high").distinct())
     while True:

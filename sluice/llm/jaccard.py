@@ -17,13 +17,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F, types as T
 
-from sluice.functions.joins import lookup_join, stored
+from sluice.functions.joins import lookup_join, scratch_tables, stored
 from sluice.llm import words as W
 from sluice.llm.graph import components
 
 BAND_STEPS = 3
 STAR_ROUNDS = 3
+SAMPLE = 1.5
 BLOCK_ELEMENTS = 500_000
+BLOCK_SETS = 1_500
 COMPARE_CELLS = 4 << 20
 _RANDOM = 0xD6E8FEB86659FD93
 
@@ -120,20 +122,25 @@ def _sets(texts, n):
 
 def _signer(n, num, den):
     plan = Plan(num, den)
+    most = np.uint64(min(1.0, SAMPLE * (den - num) / den) * ((1 << 64) - 2048))
+
+    def lists(values):
+        ends = np.concatenate(([0], np.cumsum([len(v) for v in values])))
+        flat = np.concatenate(values).view(np.int64) if values else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
     @F.arrow_udf(T.StructType().add("n", T.LongType()).add("set_id", T.LongType())
-                 .add("keys", T.ArrayType(T.LongType())))
+                 .add("keys", T.ArrayType(T.LongType())).add("some", T.ArrayType(T.LongType())))
     def sign(texts: pa.Array) -> pa.Array:
-        sizes, ids, keys, ends = [], [], [], [0]
+        sizes, ids, keys, some = [], [], [], []
         for values in _sets(texts, n):
             sizes.append(len(values))
             ids.append(xxhash.xxh3_64_intdigest(values.tobytes()) - (1 << 63))
-            keys.append(plan.keys(values).view(np.int64))
-            ends.append(ends[-1] + len(keys[-1]))
-        flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+            keys.append(plan.keys(values))
+            some.append(values[:np.searchsorted(values, most)])
         return pa.StructArray.from_arrays(
-            [pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()),
-             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["n", "set_id", "keys"])
+            [pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), lists(keys), lists(some)],
+            ["n", "set_id", "keys", "some"])
     return sign
 
 
@@ -179,52 +186,70 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col="d
     no smallest id; a group of only null ids has a null component. An empty table gives no rows. Sets are compared as
     64-bit hashes of shingles and classes as 64-bit hashes of sets.
 
-    No pairs within a group are made: each key's sets are compared with the smallest of them only, and links merge into
-    components. That set then leaves the key, and keys that several components still hold have further rounds of the
-    same kind. What is not settled by then is compared in blocks of bounded size.
+    A set links only if no more than 1 - num / den of its elements are held by no other set. Sets that exceed this already in a
+    sample range of the universe are not indexed. No pairs within a group are made: each key's sets are compared with the
+    smallest of them only, and links merge into components. Then sets leave of which too few elements are held
+    by other components; those compared with all others of a key leave the key, and keys that several components still
+    hold have further rounds of the same kind. What is not settled by then is compared in blocks of bounded size.
     """
-    with W.small_batches(docs.sparkSession):
-        return _linked(docs, n, num, den, id_col, text_col)
+    spark = docs.sparkSession
+    with W.small_batches(spark), scratch_tables(spark):
+        return stored(_linked(docs, n, num, den, id_col, text_col), keep=True)
 
 
 def _linked(docs, n, num, den, id_col, text_col):
-    signed = stored(docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_id"),
-        _signer(n, num, den)(text_col).alias("s")).select("doc_id", "text_id", "s.*"))
-    full = signed.filter("n > 0")
-    classes = stored(full.groupBy("set_id").agg(
-        F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_id")).alias("row"), F.max("n").alias("n")))
-    once = full.select("set_id", F.struct("doc_id", "text_id").alias("row"), "keys").join(
-        classes.select("set_id", "row"), ["set_id", "row"], "left_semi")
-    keys = once.select("set_id", F.explode("keys").alias("key"))
-    common = keys.groupBy("key").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).filter("a < z")
-    members = stored(keys.join(common.select("key", "a"), "key").select("key", "a", F.col("set_id").alias("b")))
+    with scratch_tables(docs.sparkSession):  # the keys of all documents, and of all sets, go as soon as shared ones are known
+        slim, classes, members = _indexed(docs, n, num, den, id_col, text_col)
     stars = stored(members.filter("a < b").select("a", "b").distinct())
     wanted = stars.select(F.col("a").alias("set_id")).union(stars.select("b")).distinct()
     sets = _elements(docs, classes, wanted, n, id_col, text_col)
     links = stored(_verified(_near_sizes(stars, classes, num, den), sets, num, den))
     found = stored(components(links))
-    left = members.filter("a < b")  # a set that was compared with all others of its key can leave the key
+    left = stored(_unsettled(members.filter("a < b"), found))
+    shared = stored(_shared_with_others(left, sets, num, den))
+    left = left.join(shared.select(F.col("set_id").alias("b")), "b", "left_semi")
     for _ in range(STAR_ROUNDS):
         left = stored(_unsettled(left, found))
-        pairs = left.filter("component <> of_a").select("a", "b").distinct()
+        if left.isEmpty():
+            break
+        pairs = left.filter("a < b AND of_a <> component").select("a", "b").distinct()
         new = stored(_verified(_near_sizes(pairs, classes, num, den), sets, num, den))
         left = left.filter("a < b")
         if not new.isEmpty():
             links = links.unionByName(new)
-            found = stored(components(links))
-    more = _links_in_bundles(_bundles(left, found), sets, num, den)
-    found = stored(components(links.unionByName(more)))
+            found = components(links)
+    more = _links_in_bundles(_bundles(left, found), shared, num, den)
+    found = components(links.unionByName(more))
     label = F.coalesce("component", "set_id")
     placed = classes.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", label)
     smallest = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
     placed = stored(placed.join(smallest, "component").select("set_id", "component_id"))
-    slim = signed.select("doc_id", "text_id", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id"))
     return slim.join(placed, "set_id", "left").select(
         F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_id")
 
 
+def _indexed(docs, n, num, den, id_col, text_col):
+    """(doc_id, text_id, n, set_id) of all documents, the classes of equal sets, and (key, a, b): sets of keys with several; a is the smallest."""
+    signed = stored(docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_id"),
+        _signer(n, num, den)(text_col).alias("s")).select("doc_id", "text_id", "s.*"))
+    slim = stored(signed.select("doc_id", "text_id", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id")), keep=True)
+    full = signed.filter("n > 0")
+    classes = stored(slim.filter("n > 0").groupBy("set_id").agg(
+        F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_id")).alias("row"), F.max("n").alias("n")), keep=True)
+    own = full.select("set_id", F.explode("some").alias("e")).groupBy("e").agg(
+        F.min("set_id").alias("set_id"), F.max("set_id").alias("z")).filter("set_id = z")
+    own = own.groupBy("set_id").agg(F.count(F.lit(1)).alias("own"))
+    able = stored(classes.join(own, "set_id", "left").filter(
+        F.coalesce("own", F.lit(0)) * den <= F.col("n") * (den - num)).select("set_id", "row"))
+    once = full.select("set_id", F.struct("doc_id", "text_id").alias("row"), "keys")
+    once = lookup_join(once, able, ["set_id", "row"], "left_semi")
+    keys = once.select("set_id", F.explode("keys").alias("key"))
+    common = keys.groupBy("key").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).filter("a < z")
+    return slim, classes, stored(keys.join(common.select("key", "a"), "key").select("key", "a", F.col("set_id").alias("b")), keep=True)
+
+
 def _near_sizes(pairs, classes, num, den):
     """The pairs whose sizes allow the threshold."""
     sized = pairs.join(classes.select(F.col("set_id").alias("a"), F.col("n").alias("na")), "a").join(
@@ -252,6 +277,15 @@ def _unsettled(members, found):
         "key", "a", "of_a", "b", "component")
 
 
+def _shared_with_others(members, sets, num, den):
+    """(set_id, n, elements): elements that several components hold, of the sets that have enough of them for a link."""
+    inside = members.select(F.col("b").alias("set_id"), "component").distinct()
+    held = sets.join(inside, "set_id").select("set_id", "component", F.size("elements").alias("n"), F.explode("elements").alias("e"))
+    both = held.groupBy("e").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("e")
+    return held.join(both, "e").groupBy("set_id", "n").agg(F.collect_list("e").alias("elements")).filter(
+        F.size("elements") * den >= F.col("n") * num)
+
+
 def _bundles(members, found):
     """(set_id, component, bundle): sets of keys that more than one component holds; such keys' sets are one bundle."""
     placed = stored(_unsettled(members, found).select("a", "b", "component").distinct())
@@ -302,9 +336,10 @@ def _common_counts(values, ends):
 def _block_links(num, den):
     def compare(table: pa.Table) -> pa.Table:
         ids, labels = np.asarray(table.column("set_id")), np.asarray(table.column("component"))
+        sizes = np.asarray(table.column("n")).astype(np.float64)
         lists = table.column("elements").combine_chunks()
-        sizes = np.asarray(lists.value_lengths()).astype(np.float64)
-        common = _common_counts(np.asarray(lists.flatten()), np.concatenate(([0], np.cumsum(sizes).astype(np.int64))))
+        ends = np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths())))).astype(np.int64)
+        common = _common_counts(np.asarray(lists.flatten()), ends)
         union = sizes[:, None] + sizes[None, :] - common
         found = _spanning(common * np.float64(den) >= union * num, labels)
         a, b = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
@@ -312,15 +347,16 @@ def _block_links(num, den):
     return compare
 
 
-def _links_in_bundles(bundles, sets, num, den, block=BLOCK_ELEMENTS):
+def _links_in_bundles(bundles, sets, num, den, block=BLOCK_ELEMENTS, block_sets=BLOCK_SETS):
     """Links between components, found by comparing all sets of a bundle block by block.
 
-    A bundle with more than `block` elements is dealt into blocks by hash, and each pair of blocks is a group of its own, so a
-    task holds the sets of two blocks at most. Of its links a group returns a spanning forest.
+    `sets` holds the size n of each set and its elements that other components may hold. A bundle with more than `block` elements
+    or `block_sets` sets is dealt into blocks by hash, and each pair of blocks is a group of its own, so a task holds the sets
+    of two blocks at most. Of its links a group returns a spanning forest.
     """
     held = bundles.join(sets, "set_id")
-    parts = bundles.join(sets.select("set_id", F.size("elements").alias("n")), "set_id").groupBy("bundle").agg(
-        F.ceil(F.sum("n") / block).cast("int").alias("parts"))
+    parts = held.groupBy("bundle").agg(F.greatest(
+        F.ceil(F.sum(F.size("elements")) / block), F.ceil(F.count(F.lit(1)) / block_sets)).cast("int").alias("parts"))
     held = held.join(parts, "bundle").withColumn("part", F.pmod(F.xxhash64("set_id", F.lit("part")), "parts").cast("int"))
     other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = held.withColumn("other", other).withColumn("p", F.least("part", "other")).withColumn(
