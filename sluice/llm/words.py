@@ -1,7 +1,7 @@
 """Words and shingles of whole texts as 64-bit numbers, computed on the bytes of an Arrow column.
 
 A word is a longest run of bytes other than space, tab, LF, VT, FF and CR; A-Z count as a-z.
-Memory is bounded by the texts of one slice: a few MB, or one document if that is longer.
+Memory is bounded by the texts of one slice: about a MB, or one document if that is longer.
 """
 
 from contextlib import contextmanager
@@ -9,8 +9,8 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
-_BLOCK = 1 << 20
+SLICE_BYTES = 1 << 20
+_BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
