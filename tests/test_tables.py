@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sluice.functions import joins
 from sluice.functions.joins import computed_once, fits_broadcast
 from sluice.functions.ranking import row_numbers
 from sluice.operators.batching import assign_batches
@@ -154,3 +155,16 @@ def test_equal_rows_do_not_share_a_range(spark):
     assert got.agg(F.min("n"), F.max("n"), F.count_distinct("n")).first() == (1, 8000, 8000)
     sizes = [n for (n,) in got.groupBy(F.input_file_name()).count().select("count").collect()]
     assert len(sizes) > 1 and max(sizes) < 6000
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    with joins.scratch_tables(spark):
+        with joins.scratch_tables(spark):
+            inner = joins.stored(spark.range(3))
+            outer = joins.stored(inner.withColumn("x", inner.id + 1), keep=True)
+        gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(inner.inputFiles()[0]).getParent()
+        assert outer.count() == 3
+        last = joins.stored(outer.filter("x > 1"), keep=True)
+    files = gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert not files.exists(gone)
+    assert last.count() == 2
