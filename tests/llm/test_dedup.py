@@ -130,7 +130,7 @@ def test_blocks_of_one_bundle_find_the_same_links(spark, monkeypatch):
     rows = [(i, " ".join(f"t{k}" for k in range(40) if k != i)) for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     whole = jaccard._links_in_bundles
-    monkeypatch.setattr(jaccard, "_links_in_bundles", lambda *a: whole(*a, block=200))
+    monkeypatch.setattr(jaccard, "_links_in_bundles", lambda *a: whole(*a, block=200, block_sets=3))
     got = {r["doc_id"]: r["component_id"] for r in jaccard.linked(docs, 1, 95, 100).collect()}
     assert [got[i] for i in range(30)] == [c for _, _, c in brute_components(rows, 1, 95, 100)]
 
