@@ -5,6 +5,11 @@ tables stand in for logs: events are messages, documents are the contents of tex
 are entries of a file listing and of a ledger. All queries run over whole tables.
 """
 
+import json
+import os
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -479,6 +484,18 @@ def deliver_to_hosts(spark, sf_dir):
         "category", "message", F.col("error").isNotNull().alias("failed"))
 
 
+@check("""SELECT event_type AS category, 'host-1|' || props AS message, true AS failed FROM events""")
+def all_hosts_down(spark, sf_dir):
+    """No host accepts a connection: each sender waits within its budget, and every entry is failed."""
+    def refuse(host):
+        raise ConnectionError(host)
+
+    entries = convert.add_host_prefix(event_messages(spark, sf_dir), "host-1")
+    options = EndpointOptions(("a", "b"), all_down_wait_ms=50)
+    return deliver_to_endpoint(entries, refuse, options).select(
+        "category", "message", F.col("error").contains("no host accepts").alias("failed"))
+
+
 def refuse_low_values(msgs):
     return msgs.withColumn("error", F.when(F.col("value") < 10, "low value"))
 
@@ -674,10 +691,10 @@ UNION ALL
 SELECT 'docs-{{sink}}', 'lines', 'written', count(*) FILTER (WHERE data <> '') FROM all_lines"""
 
 
-def flow_counts(spark, flow):
+def flow_counts(spark, flow, *more):
     """Drain the folder in micro-batches and add up what each end has counted."""
     flow.start(spark, availableNow=True).awaitTermination()
-    counts = flow.counts(spark, "read").unionByName(flow.counts(spark, "written"))
+    counts = reduce(DataFrame.unionByName, [flow.counts(spark, event) for event in ("read", "written", *more)])
     return counts.groupBy("name", "topic", "event").agg(F.sum("delta").alias("n"))
 
 
@@ -691,22 +708,42 @@ def folder_to_files(spark, sf_dir):
         lambda msgs: convert.drop_empty(convert.rename_topics(msgs, "app:lines"))))
 
 
-@check(FLOW_SQL.format(sink="EndpointSink"))
+@check(f"""{FLOW_SQL.format(sink="EndpointSink")}
+UNION ALL SELECT 'docs-EndpointSink', 'lines', 'skipped', count(*) FILTER (WHERE data = '') FROM all_lines
+UNION ALL SELECT 'hosts', 'lines', 'received', count(*) FILTER (WHERE data <> '') FROM all_lines
+UNION ALL SELECT 'hosts', 'lines', 'characters', sum(length(data))::BIGINT FROM all_lines""")
 def folder_to_hosts(spark, sf_dir):
-    """The same to remote hosts, of which one is down; the sink skips blank lines by itself."""
+    """The same to remote hosts, one of them down and one busy at times; the sink skips blank lines by itself.
+
+    The clients keep what they accept as files, which are counted, too.
+    """
+    state = scratch_dir(spark, "flow")
+    folder = f"{state}/received".removeprefix("file://")
+
     class Client:
         def __init__(self, host):
             if host == "down":
                 raise ConnectionError(host)
+            self.busy, self.sent = host == "busy", 0
+            os.makedirs(folder, exist_ok=True)
 
         def send(self, batch):
-            return True
+            self.sent += 1
+            if self.busy and self.sent % 3 == 1:
+                return False
+            with open(f"{folder}/{uuid.uuid4().hex}.json", "w") as out:
+                out.writelines(json.dumps({"topic": topic, "data": data}) + "\n" for topic, data in batch)
 
         def close(self):
             pass
 
-    state = scratch_dir(spark, "flow")
     source = FileSource(written_as_text(spark, sf_dir), "app", r"^.*\.txt$", max_files=4)
-    sink = EndpointSink(Client, EndpointOptions(("a", "b", "down")), f"{state}/outcomes")
-    return flow_counts(spark, Pipeline(
-        "docs", source, sink, state, lambda msgs: convert.rename_topics(msgs, "app:lines")))
+    options = EndpointOptions(("a", "busy", "down"), try_later_wait_ms=10)
+    sink = EndpointSink(Client, options, f"{state}/outcomes", host="host-1")
+    flow = Pipeline("docs", source, sink, state, lambda msgs: convert.rename_topics(msgs, "app:lines"))
+    counted = flow_counts(spark, flow, "skipped")
+    received = spark.read.schema("topic string, data string").json(folder).groupBy("topic").agg(
+        F.count("data").alias("received"),
+        F.sum(F.length("data") - len("host-1|")).alias("characters")).unpivot(
+        "topic", ["received", "characters"], "event", "n")
+    return counted.unionByName(received.withColumn("name", F.lit("hosts")))

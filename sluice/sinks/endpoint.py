@@ -3,7 +3,8 @@
 Spark supplies the partitions; each partition has one sender. The protocol is not part of
 this package: a `client_factory(host)` connects (and raises if it cannot) and returns an
 object with `send(list of (category, message))` and `close()`. `send` raises on a broken
-connection, returns False to be tried again, and anything else for success.
+connection, returns False to be tried again, and anything else for success. A batch that is
+refused goes with a later one; see `Sender` for the schedule.
 
 A retried task sends again: delivery is at least once.
 """
@@ -15,42 +16,100 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, replace
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.datasource import (
     DataSource, DataSourceStreamWriter, DataSourceWriter, WriterCommitMessage)
 
+# A refused batch keeps its rows in memory; beyond so many Arrow frames it is settled first.
+HELD_FRAMES = 16
+
 
 @dataclass(frozen=True)
 class EndpointOptions:
+    """`retries` bounds the tries of a batch and the rounds over hosts that are all down.
+
+    A partition waits `wait_budget_ms` in total at most, whatever it waits for. Up to `queue_entries` refused
+    entries are kept for later. A host that refuses `breaker_refusals` new batches in a row is left alone for a while.
+    """
     hosts: tuple[str, ...]
     batch_size: int = 100
     max_interval_ms: int = 1000
     retries: int = 3
     all_down_wait_ms: int = 60_000
     try_later_wait_ms: int = 100
+    wait_budget_ms: int = 120_000
+    queue_entries: int = 1000
+    breaker_refusals: int = 10
+
+
+class _Batch:
+    """Entries on their way, and whom to tell what became of them."""
+
+    def __init__(self, entries, settled):
+        self.entries, self.settled = entries, settled
+        self.tries, self.due, self.accepted = 0, 0.0, 0
+
+
+class _Host:
+    """The breaker of a host: refusals in a row, and until when it is left alone."""
+
+    def __init__(self):
+        self.refusals, self.opened, self.until = 0, 0, 0.0
 
 
 class Sender:
-    """Batches, retries and fails over. `seed` fixes the choice of hosts for a partition.
+    """Sends batches, keeps refused ones for later, and fails over. `seed` fixes the choice of hosts.
+
+    A refused batch is queued and new ones go on. It is tried again when its pause (doubled each time) is over, or
+    as soon as a host has accepted a later batch, as then the hosts are not busy. Only a full queue or the end of the
+    entries makes the sender wait. Once the partition's budget of waiting is used up, what is left gets
+    its tries at once, so that a partition ends.
 
     When no host accepts a connection after `retries` rounds, the sender gives up: all further
-    batches of the partition fail at once, so a partition waits `retries` - 1 times at most.
+    batches of the partition fail at once.
     """
 
     def __init__(self, client_factory: Callable, options: EndpointOptions, seed: int = 0):
         self.factory, self.options = client_factory, options
         self.random = random.Random(seed)
         self.hosts, self.client, self.host = list(options.hosts), None, None
+        self.state = {host: _Host() for host in options.hosts}
+        self.unsent, self.refused, self.queued = deque(), deque(), 0
+        self.accepted, self.waited, self.ahead = 0, 0.0, 0.0
         self.given_up = None
 
+    def now(self) -> float:
+        return time.monotonic() + self.ahead
+
+    def wait(self, until: float) -> None:
+        """Sleep, as far as the budget goes. What it does not cover counts as waited."""
+        seconds = min(until - self.now(), self.options.wait_budget_ms / 1000 - self.waited)
+        if seconds > 0:
+            self.waited += seconds
+            time.sleep(seconds)
+        self.ahead += max(0.0, until - self.now())
+
+    def pause(self, times: int) -> float:
+        """Doubled with each time, and never longer than the wait for hosts that are down."""
+        longest = max(self.options.all_down_wait_ms, self.options.try_later_wait_ms)
+        return min(self.options.try_later_wait_ms * 2 ** min(times, 30), longest) / 1000
+
+    def available(self) -> bool:
+        """False while all hosts that are not known to be down are left alone."""
+        return self.client is not None or not self.hosts or self.given_up is not None or any(
+            self.state[host].until <= self.now() for host in self.hosts)
+
     def connect(self) -> None:
         """Try hosts at random. When all have failed, wait and start over, `retries` times."""
         for attempt in range(self.options.retries):
             while self.hosts:
-                self.host = self.random.choice(self.hosts)
+                ready = [host for host in self.hosts if self.state[host].until <= self.now()]
+                if not ready:
+                    self.wait(min(self.state[host].until for host in self.hosts))
+                    continue
+                self.host = self.random.choice(ready)
                 try:
                     self.client = self.factory(self.host)
                     return
@@ -59,7 +118,7 @@ class Sender:
                     self.hosts.remove(self.host)
             self.hosts = list(self.options.hosts)
             if attempt + 1 < self.options.retries:
-                time.sleep(self.options.all_down_wait_ms / 1000)
+                self.wait(self.now() + self.options.all_down_wait_ms / 1000)
         raise ConnectionError(f"no host accepts a connection: {reason!r}")
 
     def drop(self, exclude: bool) -> None:
@@ -68,27 +127,82 @@ class Sender:
         if exclude and self.host in self.hosts:
             self.hosts.remove(self.host)
 
+    def offer(self, batch: list, settled: Callable[[str | None], None]) -> None:
+        """Send a batch now or later; `settled` is told None, or the reason why it could not be sent."""
+        self.unsent.append(_Batch(batch, settled))
+        self.queued += len(batch)
+        self.work(self.options.queue_entries)
+
+    def flush(self) -> None:
+        """Settle all that is queued."""
+        self.work(0)
+
     def send(self, batch: list) -> str | None:
-        """Send one batch; returns None, or the reason why it could not be sent."""
+        """Send one batch to the end; returns None, or the reason why it could not be sent."""
+        outcome = []
+        self.offer(batch, outcome.append)
+        self.flush()
+        return outcome[0]
+
+    def work(self, limit: int) -> None:
+        """Try what is due, and wait for more only while over `limit` entries are queued."""
+        while self.unsent or self.refused:
+            if self.available():
+                if self.unsent:
+                    self.attempt(self.unsent.popleft())
+                    continue
+                first = self.refused[0]
+                if first.due <= self.now() or self.accepted > first.accepted or self.given_up:
+                    self.attempt(self.refused.popleft())
+                    continue
+                until = first.due
+            else:
+                until = min(self.state[host].until for host in self.hosts)
+            if self.queued <= limit:
+                return
+            self.wait(until)
+
+    def attempt(self, batch: _Batch) -> None:
+        """One try on a host that answers; a broken connection is a try, and another host follows at once."""
         reason = self.given_up
-        for tried in range(0 if self.given_up else self.options.retries):
+        while self.given_up is None and batch.tries < self.options.retries:
             if self.client is None:
                 try:
                     self.connect()
                 except ConnectionError as failure:
-                    self.given_up = str(failure)
-                    return self.given_up
+                    self.given_up = reason = str(failure)
+                    break
+            fresh = batch.tries == 0
+            batch.tries += 1
             try:
-                if self.client.send(batch) is not False:
-                    self.hosts = list(self.options.hosts)
-                    return None
-                reason = f"{self.host} asked to try later"
-                if tried + 1 < self.options.retries:
-                    time.sleep(self.options.try_later_wait_ms / 1000)
+                answer = self.client.send(batch.entries)
             except Exception as failure:
                 reason = f"{self.host}: {failure!r}"
                 self.drop(exclude=True)
-        return reason
+                continue
+            if answer is not False:
+                self.accepted += 1
+                self.hosts, self.state[self.host] = list(self.options.hosts), _Host()
+                reason = None
+                break
+            reason = f"{self.host} asked to try later"
+            self.note_refusal(fresh)
+            if batch.tries < self.options.retries:
+                batch.due, batch.accepted = self.now() + self.pause(batch.tries - 1), self.accepted
+                self.refused.append(batch)
+                return
+        self.queued -= len(batch.entries)
+        batch.settled(reason)
+
+    def note_refusal(self, fresh: bool) -> None:
+        """Leave a host alone that refuses whatever comes. A batch that is refused again says little about it."""
+        state = self.state[self.host]
+        if fresh or state.opened:
+            state.refusals += 1
+        if state.refusals >= self.options.breaker_refusals or state.opened:
+            state.until = self.now() + self.pause(state.opened)
+            state.opened += 1
+            self.drop(exclude=False)
 
     def close(self) -> None:
         if self.client is not None:
@@ -125,27 +239,36 @@ def deliver_to_endpoint(entries: DataFrame, client_factory: Callable, options: E
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = Sender(client_factory, options, TaskContext.get().partitionId())
-        waiting, errors = deque(), deque()
+        held = {}
 
         def rows():
-            for frame in frames:
-                waiting.append((frame, len(frame) - frame["message"].null_count))
-                for entry in zip(frame["category"].to_pylist(), frame["message"].to_pylist()):
+            for number, frame in enumerate(frames):
+                held[number] = [frame, [None] * len(frame), len(frame) - frame["message"].null_count]
+                for at, entry in enumerate(zip(frame["category"].to_pylist(), frame["message"].to_pylist())):
                     if entry[1] is not None:
-                        yield entry
+                        yield number, at, entry
+
+        def settle(places):
+            def settled(error):
+                for number, at in places:
+                    held[number][1][at] = error
+                    held[number][2] -= 1
+            return settled
 
         def finished():
-            """Frames whose entries were all tried; batches may span frames."""
-            while waiting and waiting[0][1] <= len(errors):
-                frame, _ = waiting.popleft()
-                tried = pc.is_valid(frame["message"]).to_pylist()
-                column = pa.array([errors.popleft() if sent else None for sent in tried], pa.string())
-                yield pa.RecordBatch.from_arrays([*frame.columns, column], [*frame.schema.names, "error"])
+            """Frames whose entries were all settled; a batch may span frames, and a refused one keeps its frame."""
+            for number in [n for n, (_, _, waiting) in held.items() if not waiting]:
+                frame, errors, _ = held.pop(number)
+                yield pa.RecordBatch.from_arrays(
+                    [*frame.columns, pa.array(errors, pa.string())], [*frame.schema.names, "error"])
 
         try:
             for batch in batches(rows(), options.batch_size, options.max_interval_ms):
-                errors.extend([sender.send(batch)] * len(batch))
+                sender.offer([entry for _, _, entry in batch], settle([place[:2] for place in batch]))
+                if len(held) > HELD_FRAMES:
+                    sender.flush()
                 yield from finished()
+            sender.flush()
             yield from finished()
         finally:
             sender.close()
@@ -156,7 +279,7 @@ def deliver_to_endpoint(entries: DataFrame, client_factory: Callable, options: E
 def endpoint_data_source(client_factory: Callable, format_name: str = "endpoint") -> type:
     """A data source class for `spark.dataSource.register`, for `write` and `writeStream`.
 
-    Options: hosts (comma separated), batch_size, max_interval_ms, retries, all_down_wait_ms.
+    Options: hosts (comma separated) and the other fields of `EndpointOptions`.
     A batch that cannot be sent fails its task. Use `deliver_to_endpoint` to keep such rows.
     """
     class Endpoint(DataSource):
@@ -185,7 +308,8 @@ def write_endpoint(entries: DataFrame, client_factory: Callable, options: Endpoi
 
 def _options(given):
     numbers = {name: int(given[name]) for name in (
-        "batch_size", "max_interval_ms", "retries", "all_down_wait_ms") if given.get(name)}
+        "batch_size", "max_interval_ms", "retries", "all_down_wait_ms", "try_later_wait_ms", "wait_budget_ms",
+        "queue_entries", "breaker_refusals") if given.get(name)}
     return replace(EndpointOptions(tuple(given["hosts"].split(","))), **numbers)
 
 
@@ -202,13 +326,17 @@ class _Write:
     def write(self, iterator) -> Sent:
         sender = Sender(self.factory, self.options, TaskContext.get().partitionId())
         sent = 0
+
+        def settled(error):
+            if error is not None:
+                raise ConnectionError(error)
+
         rows = ((row[self.at[0]], row[self.at[1]]) for row in iterator)
         try:
             for batch in batches(rows, self.options.batch_size, self.options.max_interval_ms):
-                error = sender.send(batch)
-                if error is not None:
-                    raise ConnectionError(error)
+                sender.offer(batch, settled)
                 sent += len(batch)
+            sender.flush()
         finally:
             sender.close()
         return Sent(sent)
