@@ -6,7 +6,9 @@ where SQL can express it.
 
 from pyspark.sql import functions as F
 
-from sluice.llm import decontaminate, jaccard, mixing, passages, quality, suffixes, tokens, topk, toxicity, urls
+from sluice.llm import (
+    decontaminate, jaccard, mixing, passages, quality, secrets, suffixes, tokens, topk, toxicity, trie, urls,
+    whitening)
 
 QUERIES, SQL = {}, {}
 
@@ -169,3 +171,70 @@ def op10_url_filter(spark, sf_dir):
     """A verdict on every page: the rule that fits, else the trust of its host."""
     pages = table(spark, sf_dir, "pages")
     return urls.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
+@query
+def op11_secrets(spark, sf_dir):
+    """Secrets in each document, by pattern and by token efficiency."""
+    found = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select(
+        "doc_id", *(secrets.counted(F.col("spans"), kind).alias(f"n_{kind}") for kind in secrets.KINDS),
+        F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
+def rebuilt(turns):
+    """(turns, conversations): each conversation c begins with h turns of conversation c - c % 100 in place of its own first h.
+
+    h is the CRC-32 of the id in decimal, modulo 6. Only five turns of each hundredth conversation are gathered.
+    """
+    ids = turns.groupBy("conv_id").agg(F.max("depth").alias("n")).withColumn("h", remainder(F.col("conv_id"), 6))
+    heads = turns.filter("conv_id % 100 = 0 AND depth <= 5").groupBy(F.col("conv_id").alias("base")).agg(
+        F.sort_array(F.collect_list(F.struct("depth", "content", "n_chars"))).alias("head"))
+    headed = mixing.stored(ids.withColumn("base", F.col("conv_id") - F.col("conv_id") % 100).join(heads, "base", "left").select(
+        "conv_id", "h", F.coalesce(F.slice("head", 1, F.col("h").cast("int")), F.array()).alias("head")))
+    own = turns.join(headed.select("conv_id", "h", F.size("head").alias("k")), "conv_id").filter("depth > h").select(
+        "conv_id", (F.col("depth") - F.col("h") + F.col("k")).alias("depth"), "content", "n_chars")
+    return headed.select("conv_id", F.inline("head")).unionByName(own), headed.select("conv_id")
+
+
+@query
+def op12_prefix_trie(spark, sf_dir):
+    """The nodes of the trie of rebuilt conversations."""
+    turns = mixing.stored(trie.turns_of(table(spark, sf_dir, "conversations")))
+    return trie.prefix_trie(*rebuilt(turns))
+
+
+SQL["op12_prefix_trie"] = """
+WITH own AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+    string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, b:
+    CASE WHEN b >= 0 THEN xor(a, b) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 6 AS h
+    FROM (SELECT DISTINCT conv_id FROM own)),
+headed AS (SELECT ids.conv_id, h, count(own.pos) AS k FROM ids LEFT JOIN own
+    ON own.conv_id = ids.conv_id - ids.conv_id % 100 AND own.pos <= h GROUP BY ALL),
+turns AS (SELECT i.conv_id, own.pos AS d, r, x FROM headed i JOIN own
+    ON own.conv_id = i.conv_id - i.conv_id % 100 AND own.pos <= h
+    UNION ALL SELECT i.conv_id, own.pos - h + k, r, x FROM headed i JOIN own ON own.conv_id = i.conv_id AND own.pos > h),
+members AS (SELECT conv_id, d, x, list({'r': r, 'x': x}) OVER (PARTITION BY conv_id ORDER BY d
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM turns
+    UNION ALL SELECT conv_id, 0, '', [] FROM ids),
+lasts AS (SELECT conv_id, max(d) AS last FROM members GROUP BY conv_id),
+nodes AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(length(x)) AS saved,
+    sha256(coalesce(string_agg(CASE WHEN d = last THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+    FROM members JOIN lasts USING (conv_id) GROUP BY d, k),
+linked AS (SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes c WHERE c.d = n.d + 1 AND c.k[1:n.d] = n.k)
+    AS n_children FROM nodes n LEFT JOIN nodes p ON p.d = n.d - 1 AND p.k = n.k[1:n.d - 1]),
+below AS (SELECT m.d, m.k, sum((n_children = 0)::BIGINT) AS n_leaves, sum(saved) AS saved_tokens
+    FROM linked n JOIN members m ON m.conv_id = n.conv_id AND m.d <= n.d GROUP BY m.d, m.k)
+SELECT l.conv_id::BIGINT AS conv_id, l.d::BIGINT AS depth, l.parent_conv_id::BIGINT AS parent_conv_id,
+    l.n_convs::BIGINT AS n_convs, l.n_children::BIGINT AS n_children, b.n_leaves::BIGINT AS n_leaves,
+    b.saved_tokens::BIGINT AS saved_tokens, l.ends_sha256 FROM linked l JOIN below b ON b.d = l.d AND b.k = l.k"""
+
+
+@query
+def op13_whitening(spark, sf_dir):
+    """The first 16 whitened components of each vector."""
+    return whitening.components(table(spark, sf_dir, "embeddings"), ["vec_id"])
