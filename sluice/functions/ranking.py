@@ -24,20 +24,39 @@ def row_numbers(df: DataFrame, lanes: list, order: list, out: str,
     return _number_by_range(df, lanes, order, out)
 
 
-def _number_by_range(df, lanes, order, out):
-    """Sort by sampled ranges, store, and add to each row the rows of its lane before its range.
+def running_totals(df: DataFrame, order: list, measure: str, out: str) -> DataFrame:
+    """Add the sum of `measure` over all rows up to each one in `order`, itself included, range by range.
 
-    The ranges come from a sample, so they may differ when computed again (a lost executor
-    is enough). The sorted rows are therefore stored once, and both uses read that table.
-    Rows that are equal in all keys are kept apart by their place, so no range is larger.
+    Only the rows of one range are accumulated together; the sums of the ranges before are added.
     """
-    keys = [*lanes, *order, "_place"]
+    placed = _placed(df, order)
+    ranges = placed.groupBy("_part").agg(F.sum(measure).alias("_sum"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = computed_once(ranges.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum"))
+    within = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    return placed.withColumn(out, F.sum(measure).over(within)).join(F.broadcast(bases), "_part").withColumn(
+        out, F.col(out) + F.col("_base")).drop("_at", "_part", "_base")
+
+
+def _placed(df, keys):
+    """The rows sorted by sampled ranges and stored once, with their place `_at` and their range `_part`."""
+    keys = [*keys, "_place"]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = stored(
+    return stored(
         df.withColumn("_place", F.monotonically_increasing_id())
         .repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("_place")
         .withColumn("_at", F.monotonically_increasing_id())
     ).withColumn("_part", F.shiftright("_at", 33))
+
+
+def _number_by_range(df, lanes, order, out):
+    """Sort by sampled ranges, store, and add to each row the rows of its lane before its range.
+
+    The ranges come from a sample, so they may differ when computed again (a lost executor
+    is enough). The sorted rows are therefore stored once, and both uses read that table.
+    Rows that are equal in all keys are kept apart by their place, so no range is larger.
+    """
+    placed = _placed(df, [*lanes, *order])
     runs = placed.groupBy(*lanes, "_part").agg(
         F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     # One row per lane and range, so this window is small whatever the lane holds.

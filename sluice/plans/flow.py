@@ -9,6 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.functions.joins import scratch_tables
 from sluice.operators.convert import apply_converter, identity, parse_mappings, rename_topics
 from sluice.operators.counters import count_messages, write_counters
 from sluice.operators.deadletter import batch_folder, discard, store_failures
@@ -47,9 +48,14 @@ class Pipeline:
         """Deliver all that waits now. Counting scans the source again, unless `persist` is set.
 
         A file source gives its backlog in groups of files, and its ledger is saved after each.
-        A group is named by the ledger it started from, so one that is tried again after a
-        failure replaces the files, failures and counts of its first try.
+        A group is named by the ledger state it started from, so one that is tried again after a
+        failure replaces the files, failures and counts of its first try. Kafka batches are named
+        in the same way by the positions they started from.
         """
+        with scratch_tables(spark):
+            return self._run_groups(spark, persist)
+
+    def _run_groups(self, spark, persist):
         totals = {}
         while True:
             msgs = self.source.batch(spark)
@@ -73,11 +79,12 @@ class Pipeline:
         def run(micro_batch, batch_id):
             session = micro_batch.sparkSession
             run_id = session.sparkContext.getLocalProperty("sql.streaming.queryId")
-            msgs = self.source.messages(micro_batch).persist(StorageLevel.MEMORY_AND_DISK)
-            try:
-                self._deliver(msgs, run_id, batch_id)
-            finally:
-                msgs.unpersist()
+            with scratch_tables(session):
+                msgs = self.source.messages(micro_batch).persist(StorageLevel.MEMORY_AND_DISK)
+                try:
+                    self._deliver(msgs, run_id, batch_id)
+                finally:
+                    msgs.unpersist()
 
         writer = self.source.stream(spark).writeStream.foreachBatch(run).queryName(self.name).option(
             "checkpointLocation", checkpoint or f"{self.state}/checkpoint")

@@ -4,19 +4,22 @@ A source has a `name` and the methods `batch(spark)`, `stream(spark)`, `messages
 which turns rows of the stream into messages, and `finish(spark)`, called after a delivered batch.
 """
 
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sluice.functions.joins import stored
 from sluice.operators.lines import tag_category
-from sluice.schema import LEDGER
+from sluice.schema import LEDGER, POSITION
 from sluice.sources.cleanup import delete_files
 from sluice.sources.files import (
-    DEFAULT_PATTERN, DEFAULT_RETENTION_SECONDS, lines_of, list_files, match_files, order_files,
-    read_pending,
-    split_expired, unread_files, with_record_number)
-from sluice.sources.kafka import read_kafka, stream_kafka
-from sluice.sources.ledger import advance_ledger, completed, latest_snapshot, load_ledger, save_ledger
+    DEFAULT_PATTERN, DEFAULT_RETENTION_SECONDS, lines_of, list_files, match_files, plan_groups,
+    read_pending, split_expired, unread_files, with_record_number)
+from sluice.sources.kafka import (
+    SOURCE_PREFIX, broker_ends, next_span, position_log, read_kafka, stream_kafka)
+from sluice.sources.ledger import completed, ledger_log, load_ledger
 from sluice.streaming.files import stream_records
 
 
@@ -26,7 +29,8 @@ MAX_FILES = 1000
 class FileSource:
     """A watched folder. A batch reads what the ledger at `ledger_path` has not seen yet.
 
-    `max_files` bounds a micro-batch, and a group of a batch with a ledger; groups follow `order`.
+    `max_files` bounds a micro-batch, and with `max_bytes` a group of a batch with a ledger; groups follow `order`.
+    The folder is listed once for all groups of a run, and each group adds its own progress to the ledger.
     """
 
     name = "FileSource"
@@ -34,12 +38,14 @@ class FileSource:
     def __init__(self, directory: str, category: str, include_pattern: str = DEFAULT_PATTERN,
                  retention_seconds: int = DEFAULT_RETENTION_SECONDS, order: str = "asc",
                  delete_after_read: bool = False, ledger_path: str | None = None,
-                 max_files: int | None = MAX_FILES, scan_seconds: int = 30, exact: bool = True):
+                 max_files: int | None = MAX_FILES, scan_seconds: int = 30, exact: bool = True,
+                 max_bytes: int | None = None):
         self.directory, self.category = directory, category
         self.include_pattern, self.retention_seconds = include_pattern, retention_seconds
         self.order, self.delete_after_read = order, delete_after_read
-        self.ledger_path, self.max_files = ledger_path, max_files
+        self.ledger_path, self.max_files, self.max_bytes = ledger_path, max_files, max_bytes
         self.scan_seconds, self.exact = scan_seconds, exact
+        self.run_id, self.more = None, False
 
     def listing(self, spark: SparkSession):
         """(live, expired) files that match now."""
@@ -47,30 +53,39 @@ class FileSource:
         return split_expired(matching, datetime.now(timezone.utc), self.retention_seconds)
 
     def batch(self, spark: SparkSession) -> DataFrame:
-        self._all, _ = self.listing(spark)
-        self._live = self._all
-        self.run_id, self.more = None, False
-        self._ledger = load_ledger(spark, self.ledger_path) if self.ledger_path else \
-            spark.createDataFrame([], LEDGER)
-        if self.ledger_path:
-            self.run_id = latest_snapshot(spark, self.ledger_path) or "first"
-            if self.max_files:
-                self._live = self._next_group(spark)
+        if not self.ledger_path:
+            self._live = self.listing(spark)[0]
+            return read_pending(spark, self._live, spark.createDataFrame([], LEDGER), self.category, self.exact)
+        if not self.more:
+            self._plan_run(spark)
+        self.more = False  # until this group is finished; a run that failed is planned again
+        self.run_id = f"{self._number:012d}"
+        self._live = self._plan.where(F.col("group") == self._group).drop("group")
         return read_pending(spark, self._live, self._ledger, self.category, self.exact)
 
-    def _next_group(self, spark):
-        """The first `max_files` files that the ledger has not seen completed."""
+    def _plan_run(self, spark):
+        """List once, note what has gone from the folder, and cut what waits into groups."""
+        log = ledger_log(spark, self.ledger_path)
+        self._number, loaded = log.load()
+        self._ledger = stored(loaded)
+        listed = stored(self.listing(spark)[0])
         done = self._ledger.where("completed").select("path")
-        waiting = order_files(self._live.join(done, "path", "left_anti"), self.order)
-        group = waiting.limit(self.max_files + 1).collect()
-        self.more = len(group) > self.max_files
-        return spark.createDataFrame(group[:self.max_files], self._live.schema)
+        self._gone = self._ledger.join(listed.select("path"), "path", "left_anti").withColumn("removed", F.lit(True))
+        self._plan = plan_groups(listed.join(done, "path", "left_anti"), self.order, self.max_files, self.max_bytes)
+        self._group = self._next_group(-1) or 0
+
+    def _next_group(self, after):
+        return self._plan.where(F.col("group") > after).agg(F.min("group")).first()[0]
 
     def finish(self, spark: SparkSession) -> None:
         """Record that the files of the last batch are read, then delete them if so configured."""
         if self.ledger_path:
-            save_ledger(advance_ledger(self._ledger, completed(self._live), self._all),
-                        self.ledger_path)
+            changes = completed(self._live).withColumn("removed", F.lit(False))
+            if self._gone is not None:
+                changes, self._gone = changes.unionByName(self._gone), None
+            self._number = ledger_log(spark, self.ledger_path).save(changes, self._number)
+            self._group = self._next_group(self._group)
+            self.more = self._group is not None
         if self.delete_after_read:
             delete_files(self._live, self.directory, dry_run=False)
 
@@ -93,19 +108,37 @@ class FileSource:
 
 
 class KafkaSource:
-    """Kafka topics, configured by `source.kafka.*` keys."""
+    """Kafka topics, configured by `source.kafka.*` keys.
+
+    With `positions`, a shared folder, a batch reads from where the last delivered one ended up to the ends at its start,
+    and is named by the positions it started from. Without, each batch reads all that the topics hold.
+    `ends(spark, conf)` tells the ends; `fmt` is the reader's format.
+    """
 
     name = "KafkaSource"
     scan_seconds = 0
 
-    def __init__(self, conf: dict, max_offsets: int | None = None):
-        self.conf, self.max_offsets = conf, max_offsets
+    def __init__(self, conf: dict, max_offsets: int | None = None, positions: str | None = None,
+                 ends: Callable = broker_ends, fmt: str = "kafka"):
+        self.conf, self.max_offsets, self.positions, self.ends, self.fmt = conf, max_offsets, positions, ends, fmt
+        self.run_id = None
 
     def batch(self, spark: SparkSession) -> DataFrame:
-        return read_kafka(spark, self.conf)
+        if not self.positions:
+            return read_kafka(spark, self.conf, fmt=self.fmt)
+        self._number, saved = position_log(spark, self.positions).load()
+        start = {(r["topic"], r["partition"]): r["offset"] for r in saved.collect()}
+        span, self._next = next_span(
+            start, self.ends(spark, self.conf), self.conf.get(f"{SOURCE_PREFIX}auto.offset.reset", "earliest"))
+        self._changed = {at: offset for at, offset in self._next.items() if start.get(at) != offset}
+        self.run_id = f"{self._number:012d}"
+        return read_kafka(spark, self.conf, span=span, fmt=self.fmt)
 
     def finish(self, spark: SparkSession) -> None:
-        """Batches read all that the topics hold; a stream's checkpoint keeps the positions."""
+        """Save where the next batch starts; a stream's checkpoint keeps its positions itself."""
+        if self.positions and self._changed:
+            rows = [(*at, offset) for at, offset in self._changed.items()]
+            position_log(spark, self.positions).save(spark.createDataFrame(rows, POSITION), self._number)
 
     def stream(self, spark: SparkSession) -> DataFrame:
         return stream_kafka(spark, self.conf, self.max_offsets)

@@ -20,6 +20,13 @@ LEDGER = T.StructType([
     T.StructField("completed", T.BooleanType()),
 ])
 
+# How far a Kafka partition has been read: the offset of the record that comes next.
+POSITION = T.StructType([
+    T.StructField("topic", T.StringType()),
+    T.StructField("partition", T.IntegerType()),
+    T.StructField("offset", T.LongType()),
+])
+
 # One record of a text scan: the bytes between two line feeds, and where they lie.
 # (file_path, block, rec) orders the records of a file.
 RECORD = T.StructType([

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.joins import computed_once, lookup_join, stored
+from sluice.functions.ranking import running_totals
 from sluice.functions.text import (
     byte_length, cuttable, piece_bytes, piece_text, with_running_total)
 from sluice.functions.times import older_than
@@ -21,6 +22,7 @@ from sluice.schema import RECORD
 
 DEFAULT_PATTERN = r"^.*\.log$"
 DEFAULT_RETENTION_SECONDS = 86_400
+_WIDE = "decimal(38,0)"
 MARK = "\ufeff"
 
 
@@ -102,6 +104,31 @@ def order_files(listing: DataFrame, order: str = "asc") -> DataFrame:
     return listing.orderBy(modified.asc() if order == "asc" else modified.desc(), "path")
 
 
+def plan_groups(waiting: DataFrame, order: str = "asc", max_files: int | None = None,
+                max_bytes: int | None = None) -> DataFrame:
+    """The files with `group`, from 0, in the given order; stored, so that all groups come from one listing.
+
+    A group has `max_files` files at most. It ends with the file that brings it to `max_bytes`, where both limits
+    count in part: a file takes up the larger of its shares of the two. Running sums go range by range.
+    """
+    if order not in ("asc", "desc"):
+        raise ValueError(f"order should be desc or asc, not {order!r}")
+    if max_files and max_bytes:
+        share, whole = F.greatest(F.col("length").cast(_WIDE) * max_files, F.lit(max_bytes)), max_files * max_bytes
+    elif max_bytes:
+        share, whole = F.col("length"), max_bytes
+    else:
+        share, whole = F.lit(1), max_files
+    if not whole:
+        return stored(waiting.withColumn("group", F.lit(0).cast("bigint")))
+    modified = F.col("modified")
+    placed = running_totals(
+        waiting.withColumn("_share", share.cast(_WIDE)),
+        [modified.asc() if order == "asc" else modified.desc(), F.col("path")], "_share", "_total")
+    return stored(placed.withColumn("group", F.expr(f"(_total - _share) div {whole}").cast("bigint")).drop(
+        "_share", "_total"))
+
+
 def delimited(reader, paths, folder: str | None = None, whole_file: bool = False) -> DataFrame:
     """A text scan with the place of each record; `reader` is spark.read or spark.readStream.
 

@@ -1,14 +1,13 @@
 """The file ledger: how far each file has been read."""
 
 import logging
-import time
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators.lines import split_lines
 from sluice.schema import LEDGER
+from sluice.sources.statelog import StateLog
 
 LOG = logging.getLogger(__name__)
 
@@ -48,38 +47,20 @@ def backlog(listing: DataFrame, ledger: DataFrame) -> DataFrame:
                        F.coalesce(F.sum(left), F.lit(0)).alias("bytes"))
 
 
-def save_ledger(ledger: DataFrame, path: str) -> str:
-    """Write a new snapshot, then announce it. A crash in between leaves the old one in force."""
-    spark = ledger.sparkSession
-    snapshot = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
-    ledger.select(*LEDGER.names).write.parquet(f"{path}/snapshots/{snapshot}")
-    spark.createDataFrame([(snapshot,)], "snapshot string").write.mode("append").parquet(
-        f"{path}/announced")
-    return snapshot
+def ledger_log(spark: SparkSession, path: str) -> StateLog:
+    """The ledger as a log: saving the progress of a batch writes that progress only."""
+    return StateLog(spark, path, LEDGER, ["path"])
 
 
-def latest_snapshot(spark: SparkSession, path: str) -> str | None:
-    """The name of the latest announced snapshot; it names the state that a batch starts from."""
-    marker = _read_or_none(spark, f"{path}/announced", "snapshot string")
-    return marker.agg(F.max("snapshot")).first()[0] if marker is not None else None
+def save_ledger(ledger: DataFrame, path: str) -> str:
+    """Replace the whole ledger. A crash before the commit leaves the old one in force."""
+    log = ledger_log(ledger.sparkSession, path)
+    return f"{log.replace(ledger.select(*LEDGER.names), log.number()):012d}"
 
 
 def load_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The latest announced snapshot, or an empty ledger where none was ever saved."""
-    latest = latest_snapshot(spark, path)
-    if latest is None:
-        return spark.createDataFrame([], LEDGER)
-    return spark.read.schema(LEDGER).parquet(f"{path}/snapshots/{latest}")
-
-
-def _read_or_none(spark, path, schema):
-    from pyspark.errors import AnalysisException
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+    """The ledger in force, or an empty one where none was ever saved."""
+    return ledger_log(spark, path).load()[1]
 
 
 def parse_ledger_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from sluice.schema import LEDGER
 from sluice.sources.cleanup import delete_files, expire_older_than_days, inside
 from sluice.sources.files import (
-    list_files, lines_of, match_files, order_files, read_lines, read_pending, scan_directory,
+    list_files, lines_of, match_files, order_files, plan_groups, read_lines, read_pending,
+    scan_directory,
     scan_files, split_expired, unfinished_files, unread_files)
 from sluice.sources.ledger import (
-    advance_ledger, backlog, completed, import_text_ledger, load_ledger, save_ledger)
+    advance_ledger, backlog, completed, import_text_ledger, ledger_log, load_ledger, save_ledger)
+from sluice.sources.statelog import StateConflict
 from tests.conftest import rows
 from tests.test_lines import CASES, expected
 
@@ -212,11 +214,72 @@ def test_ledger_snapshots(spark, tmp_path):
     save_ledger(ledger_of(spark, ("a", 1, False)), path)
     save_ledger(ledger_of(spark, ("a", 2, True), ("b c", 0, False)), path)
     assert rows(load_ledger(spark, path)) == [("a", 2, True), ("b c", 0, False)]
-    # A snapshot that was never announced is not read.
-    ledger_of(spark, ("x", 9, True)).write.parquet(f"{path}/snapshots/99999999999999999999-x")
+    # A table that was never committed is not read.
+    ledger_of(spark, ("x", 9, True)).write.parquet(f"{path}/data/000000000099-x")
     assert load_ledger(spark, path).count() == 2
 
 
+def test_state_log_changes_and_compaction(spark, tmp_path):
+    log = ledger_log(spark, str(tmp_path / "log"))
+    assert log.load()[0] == 0
+    want, number = {}, 0
+    for i in range(25):
+        changes = {f"p{i % 7}": i, f"q{i}": i, "p0": i + 100}
+        want.update(changes)
+        rows_now = [(k, v, v % 2 == 0) for k, v in changes.items()]
+        table = ledger_of(spark, *rows_now).withColumn("removed", F.lit(False))
+        if i % 6 == 5:  # the key is ended, and comes back later
+            want.pop(f"q{i - 1}")
+            table = table.unionByName(ledger_of(spark, (f"q{i - 1}", 0, False)).withColumn("removed", F.lit(True)))
+        loaded = log.load()[1]
+        number = log.save(table, number)
+        loaded.count()  # still readable
+        got = log.load()
+        assert got[0] == number
+        assert rows(got[1]) == sorted(((k, v, v % 2 == 0) for k, v in want.items()), key=repr)
+    commits = log.commits()
+    assert len(commits) <= 2 * log.changes + 2 and sum(c.kind == "base" for c in commits) <= 2
+    assert sorted(os.listdir(tmp_path / "log" / "data")) == sorted(c.folder for c in commits)
+
+
+def test_second_writer_is_refused(spark, tmp_path):
+    one, two = (ledger_log(spark, str(tmp_path / "log")) for _ in range(2))
+    number = one.save(ledger_of(spark, ("a", 1, False)), 0)
+    with pytest.raises(StateConflict):
+        two.save(ledger_of(spark, ("a", 9, True)), 0)
+    assert rows(two.load()[1]) == [("a", 1, False)]
+    assert len(os.listdir(tmp_path / "log" / "data")) == 1
+    # A writer that ended between the two steps of a commit leaves an empty file.
+    open(tmp_path / "log" / "commits" / "000000000002", "w").close()
+    number, table = two.load()
+    assert number == 2 and rows(table) == [("a", 1, False)]
+    assert two.save(ledger_of(spark, ("b", 1, True)), number) == 3
+    assert rows(one.load()[1]) == [("a", 1, False), ("b", 1, True)]
+
+
+@pytest.mark.parametrize("order", ["asc", "desc"])
+@pytest.mark.parametrize("max_files, max_bytes", [(3, None), (None, 50), (4, 60), (None, None), (1, 1)])
+def test_plan_groups(spark, order, max_files, max_bytes):
+    rng = random.Random(1)
+    names = [(f"f{i:03d}", rng.randrange(5), rng.choice([0, 1, 7, 20, 49, 130])) for i in range(100)]
+    listing = spark.createDataFrame(names, "path string, at long, length long").select(
+        "path", F.timestamp_seconds("at").alias("modified"), "length")
+    got = plan_groups(listing, order, max_files, max_bytes).collect()
+    sign = 1 if order == "asc" else -1
+    ordered = sorted(got, key=lambda r: (sign * r["modified"].timestamp(), r["path"]))
+    assert len(got) == 100 and [r["group"] for r in ordered] == sorted(r["group"] for r in got)
+    groups = {}
+    for r in ordered:
+        groups.setdefault(r["group"], []).append(r["length"])
+    if not max_files and not max_bytes:
+        assert list(groups) == [0]
+    for lengths in groups.values():
+        assert not max_files or len(lengths) <= max_files
+        assert not max_bytes or sum(lengths[:-1]) < max_bytes
+    if max_files and not max_bytes:
+        assert all(len(lengths) == max_files for lengths in list(groups.values())[:-1])
+
+
 def test_import_text_ledger(spark, folder):
     root = folder({"c.offset": b"/var/log/app/cdn-monitor.log 6785 true\nnot a ledger line\n"
                                b"/logs/a b.log 10 False\n\n/x 1 true\n/x 2 TRUE\n/y 99999999999999999999 true"})
