@@ -10,8 +10,10 @@ import os
 import uuid
 from functools import reduce
 
+import pyarrow.dataset
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sluice.functions.joins import computed_once, lookup_join
 from sluice.functions.ranking import row_numbers
@@ -21,7 +23,7 @@ from sluice.operators.batching import assign_batches
 from sluice.operators.lines import line_offsets, resume_lines, split_lines, tag_category
 from sluice.operators.snapshots import snapshot_diff
 from sluice.plans.flow import Pipeline
-from sluice.plans.sources import FileSource
+from sluice.plans.sources import FileSource, KafkaSource
 from sluice.session import scratch_dir
 from sluice.sinks.delivery import EndpointSink, FileSink, deliver
 from sluice.sinks.endpoint import EndpointOptions, deliver_to_endpoint
@@ -238,6 +240,27 @@ def saved_ledger(spark, sf_dir):
     return ledger.load_ledger(spark, path)
 
 
+@check(f"""WITH {LEDGER_SQL} SELECT path, "offset", completed FROM ledger""")
+def ledger_of_changes(spark, sf_dir):
+    """Saved unread, then part by part as changes, so that a new base is written on the way; odd rows go and return."""
+    log = ledger.ledger_log(spark, scratch_dir(spark, "ledger"))
+    now = order_ledger(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("path"), F.lit(10)))
+    number = log.replace(now.withColumn("offset", F.lit(0).cast("bigint")), log.number())
+    number = log.save(now.where("part < 5").withColumn("removed", F.lit(True)), number)
+    for part in range(10):
+        number = log.save(now.where(F.col("part") == part), number)
+    return log.load()[1]
+
+
+@check(f"""WITH {LISTING_SQL}, shares AS (
+  SELECT path, modified, greatest(length::HUGEINT * 40, 5000000) AS share FROM listing)
+SELECT path, CAST((sum(share) OVER (ORDER BY modified DESC, path) - share) // 200000000 AS BIGINT) AS "group"
+FROM shares""")
+def plan_backlog_groups(spark, sf_dir):
+    """Files in groups of 40 files or 5 MB, newest first."""
+    return files.plan_groups(order_listing(spark, sf_dir), "desc", 40, 5_000_000).select("path", "group")
+
+
 @check("""SELECT '/logs/order ' || o_orderkey || '.log' AS path, o_custkey AS "offset",
   o_orderstatus = 'F' AS completed FROM orders WHERE o_orderstatus <> 'P'""")
 def parse_text_ledger(spark, sf_dir):
@@ -372,6 +395,74 @@ def from_kafka_records(spark, sf_dir):
     return from_kafka(records)
 
 
+class TopicFolder(DataSource):
+    """Topics kept as Parquet files, read like the Kafka connector reads: by the offsets given for each partition."""
+
+    @classmethod
+    def name(cls):
+        return "topic_folder"
+
+    def schema(self):
+        return "topic string, partition int, offset bigint, value binary"
+
+    def reader(self, schema):
+        return TopicReader(self.options)
+
+
+class TopicReader(DataSourceReader):
+    def __init__(self, options):
+        self.folder = options["kafka.folder"].removeprefix("file://")
+        self.start, self.end = (json.loads(options[name]) for name in ("startingOffsets", "endingOffsets"))
+
+    def partitions(self):
+        return [InputPartition((topic, int(number), self.start[topic][number], end))
+                for topic, ends in self.end.items() for number, end in ends.items()]
+
+    def read(self, partition):
+        topic, number, start, end = partition.value
+        own = pyarrow.dataset.dataset(f"{self.folder}/topic={topic}/partition={number}", format="parquet")
+        rows = own.to_table(filter=(pyarrow.dataset.field("offset") >= start) & (pyarrow.dataset.field("offset") < end))
+        for offset, value in zip(rows["offset"].to_pylist(), rows["value"].to_pylist()):
+            yield topic, number, offset, value
+
+
+class CrashingKafkaSource(KafkaSource):
+    """Fails between the delivery of a batch and its positions."""
+
+    def finish(self, spark):
+        raise InterruptedError("after delivery")
+
+
+@check("SELECT event_type AS topic, props AS data FROM events")
+def kafka_batches_resume(spark, sf_dir):
+    """Records arrive between batches, one of which crashes after delivery and is run again: each record once.
+
+    A folder stands in for the brokers: a third of its records is there at first, then two thirds, then all.
+    """
+    state = scratch_dir(spark, "kafka")
+    numbered = row_numbers(table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("topic"), (F.col("user_id") % 3).cast("int").alias("partition"), "event_id",
+        F.col("props").cast("binary").alias("value")), ["topic", "partition"], [F.col("event_id")], "offset")
+    numbered.withColumn("offset", F.col("offset") - 1).drop("event_id").write.partitionBy("topic", "partition").parquet(
+        f"{state}/topics")
+    spark.dataSource.register(TopicFolder)
+    topics = spark.read.parquet(f"{state}/topics")
+    names = [r["topic"] for r in topics.select("topic").distinct().collect()]
+    conf = {"source.kafka.topic.and.threads": ",".join(f"{name}:1" for name in names),
+            "source.kafka.folder": f"{state}/topics"}
+    for thirds, source in ((1, KafkaSource), (2, CrashingKafkaSource), (2, KafkaSource), (3, KafkaSource), (3, KafkaSource)):
+        def ends(spark, conf, thirds=thirds):
+            there = topics.groupBy("topic", "partition").agg(F.max("offset").alias("last")).collect()
+            return {(r["topic"], r["partition"]): (r["last"] + 1) * thirds // 3 for r in there}
+
+        read = source(conf, positions=f"{state}/positions", ends=ends, fmt="topic_folder")
+        try:
+            Pipeline("kafka", read, FileSink(f"{state}/out"), state).run_batch(spark)
+        except InterruptedError:
+            pass
+    return read_messages(spark, f"{state}/out").select("topic", "data")
+
+
 @check(KAFKA_SQL.format(data="value"))
 def to_kafka_records(spark, sf_dir):
     return to_kafka(event_messages(spark, sf_dir))
