@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from sluice.functions.joins import computed_once, lookup_join
+from sluice.functions.joins import computed_once, lookup_join, stored
 from sluice.functions.ranking import row_numbers
 from sluice.functions.text import decode_utf8
 from sluice.operators import convert, counters, deadletter
@@ -29,7 +29,7 @@ from sluice.sinks.delivery import EndpointSink, FileSink, deliver
 from sluice.sinks.endpoint import EndpointOptions, deliver_to_endpoint
 from sluice.sinks.files import read_messages, stream_files, write_files
 from sluice.sinks.kafka import to_kafka
-from sluice.sources import cleanup, files, ledger
+from sluice.sources import cleanup, files, ledger, ranges
 from sluice.sources.kafka import from_kafka
 from sluice.streaming.files import stream_lines
 
@@ -272,6 +272,31 @@ def parse_text_ledger(spark, sf_dir):
     return ledger.parse_ledger_lines(lines)
 
 
+@check("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'absent' WHEN doc_id % 4 = 1 THEN 'kept' ELSE 'deleted' END AS state
+FROM documents""")
+def delete_in_tasks(spark, sf_dir):
+    """One file a document; some are gone before, some are folders, the others are deleted. A second try finds them done."""
+    folder = scratch_dir(spark, "doomed").removeprefix("file://")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(
+        F.lit(f"file:{folder}/"), "doc_id", F.lit(".log")).alias("path"))
+
+    def prepare(batches):
+        for batch in batches:
+            os.makedirs(folder, exist_ok=True)
+            for number, path in zip(batch["doc_id"].to_pylist(), batch["path"].to_pylist()):
+                if number % 4 == 1:
+                    os.makedirs(path.removeprefix("file:"), exist_ok=True)
+                elif number % 4:
+                    open(path.removeprefix("file:"), "w").close()
+            yield batch
+
+    made = docs.repartition(4).mapInArrow(prepare, "doc_id long, path string")
+    outcomes = cleanup.delete_in_tasks(stored(made), folder, f"{folder}-outcomes")
+    cleanup.delete_in_tasks(docs, folder, f"{folder}-outcomes")
+    return docs.join(outcomes, "path").select("doc_id", F.when(
+        F.col("state") == "not a file", "kept").otherwise(F.col("state")).alias("state"))
+
+
 @check(f"""WITH {LISTING_SQL}, {LEDGER_SQL}
 SELECT count(*) AS files, CAST(sum(length - coalesce("offset", 0)) AS BIGINT) AS bytes
 FROM listing LEFT JOIN ledger USING (path) WHERE NOT coalesce(completed, FALSE)""")
@@ -299,19 +324,44 @@ def read_file_lines(spark, sf_dir):
     return files.read_lines(spark, matching, "app").select("topic", "data")
 
 
-@check(FILE_LINES_SQL.replace(
+ODD_LINES_SQL = FILE_LINES_SQL.replace(
     "string_split_regex(replace(",
-    "string_split_regex(CASE WHEN doc_id % 3 > 0 THEN chr(65279) ELSE '' END || replace("))
-def read_files_with_odd_ends(spark, sf_dir):
-    """Files that end with a bare carriage return, start with a byte order mark, or both, read exactly."""
+    "string_split_regex(CASE WHEN doc_id % 3 > 0 THEN chr(65279) ELSE '' END || replace(")
+
+
+def written_with_odd_ends(spark, sf_dir):
+    """Files that end with a bare carriage return, start with a byte order mark, or both."""
     folder, docs = scratch_dir(spark, "text"), windows_text(spark, sf_dir)
     for part, (mark, end) in enumerate([("", "\r"), (files.MARK, "\n"), (files.MARK, "\r")]):
         docs.where(F.col("doc_id") % 3 == part).select(F.concat(F.lit(mark), "text").alias("value")).write.mode(
             "append").option("lineSep", end).text(folder)
-    listing = files.match_files(files.list_files(spark, folder), r"part-.*\.txt")
+    return folder
+
+
+@check(ODD_LINES_SQL)
+def read_files_with_odd_ends(spark, sf_dir):
+    """Odd files, read exactly."""
+    listing = files.match_files(files.list_files(spark, written_with_odd_ends(spark, sf_dir)), r"part-.*\.txt")
     return files.read_lines(spark, listing, "app").select("topic", "data")
 
 
+@check(ODD_LINES_SQL)
+def stream_files_with_odd_ends(spark, sf_dir):
+    """The same as a stream, which opens and cuts files in its tasks."""
+    out = scratch_dir(spark, "stream")
+    lines = stream_lines(spark, written_with_odd_ends(spark, sf_dir), "app", include_pattern=r"^.*\.txt$", max_files=5)
+    stream_files(lines, f"{out}/messages", f"{out}/checkpoint", availableNow=True).awaitTermination()
+    return read_messages(spark, f"{out}/messages").select("topic", "data")
+
+
+@check(FILE_LINES_SQL)
+def read_byte_ranges(spark, sf_dir):
+    """The documents as text files, in ranges of 10,000 bytes that tasks open by themselves."""
+    listing = files.match_files(files.list_files(spark, written_as_text(spark, sf_dir)), r"part-.*\.txt")
+    found = ranges.ranges_of(listing.withColumn("offset", F.lit(0)), 10_000)
+    return tag_category(ranges.read_ranges(found), "app").select("topic", "data")
+
+
 @check(FILE_LINES_SQL)
 def scan_directory_lines(spark, sf_dir):
     folder = written_as_text(spark, sf_dir)
@@ -371,10 +421,7 @@ def resume_file_lines(spark, sf_dir):
     """Files read up to a line near their middle, then from the ledger's offset to their end."""
     listing = files.match_files(
         files.list_files(spark, written_as_text(spark, sf_dir)), r"part-.*\.txt")
-    stored = scratch_dir(spark, "lines")
-    files.read_lines(spark, listing, "app", offsets=True).withColumnRenamed(
-        "file_path", "path").write.parquet(stored)
-    lines = spark.read.parquet(stored)
+    lines = stored(files.read_lines(spark, listing, "app", offsets=True).withColumnRenamed("file_path", "path"))
     reached = computed_once(
         lines.join(listing, "path").where("end_offset <= length / 2").groupBy("path").agg(
             F.max("end_offset").alias("offset")).withColumn("completed", F.lit(False)))

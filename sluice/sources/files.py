@@ -6,7 +6,6 @@ Spark does not list empty files and names that start with `_` or `.`.
 """
 
 import re
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,6 +18,7 @@ from sluice.functions.text import (
 from sluice.functions.times import older_than
 from sluice.operators.lines import resume_lines, tag_category
 from sluice.schema import RECORD
+from sluice.sources.ranges import probe_ends, ranges_of, read_ranges, readable
 
 DEFAULT_PATTERN = r"^.*\.log$"
 DEFAULT_RETENTION_SECONDS = 86_400
@@ -315,28 +315,58 @@ def _with_record_ends(records):
 
 def read_lines(spark: SparkSession, files, category: str, offsets: bool = False,
                exact: bool = True) -> DataFrame:
-    """Messages of finished files, one per line, with their place as extra columns."""
-    return tag_category(lines_of(scan_files(spark, files), offsets, exact), category)
+    """Messages of finished files, one per line, with their place as extra columns.
+
+    `files` are paths, or a table with `path`. Exact reading looks at a few bytes of each file. Files that Spark's
+    scan would not show exactly (a byte order mark, or a carriage return at the very end) are read by byte ranges, all
+    others by the scan; contents are read once. So are all files if `offsets` are asked for, where tasks can open the files.
+    """
+    if not isinstance(files, DataFrame):
+        files = spark.createDataFrame([(path,) for path in files], "path string")
+    first = files.select("path").first()
+    if not (exact or offsets) or first is None or not readable(first["path"]):
+        return tag_category(lines_of(scan_files(spark, files), offsets, exact), category)
+    probed = computed_once(probe_ends(_spread(files)))
+    if offsets:
+        return tag_category(_by_ranges(probed), category)
+    plain = lines_of(scan_files(spark, probed.where("NOT (marked OR open)")), exact=False)
+    odd = probed.where("marked OR open")
+    if odd.isEmpty():
+        return tag_category(plain, category)
+    return tag_category(plain.unionByName(_by_ranges(odd).drop("end_offset")), category)
+
+
+def _spread(files):
+    """A table of paths over as many tasks as there are cores, however small it is."""
+    return files.select("path").repartition(files.sparkSession.sparkContext.defaultParallelism, "path")
+
+
+def _by_ranges(files):
+    """The lines of files (path, length and perhaps offset), in the columns of `lines_of`."""
+    if "offset" not in files.columns:
+        files = files.withColumn("offset", F.lit(0).cast("bigint"))
+    return read_ranges(ranges_of(files))
 
 
 def read_pending(spark: SparkSession, listing: DataFrame, ledger: DataFrame,
                  category: str, exact: bool = True) -> DataFrame:
     """Messages that the ledger has not seen: new files whole, unfinished files from their offset.
 
-    Offsets cost a shuffle, so they are computed only for files that were left part-way.
+    Unfinished files are opened at their offset: what was read before is not read again. An offset
+    inside a line gives the whole line. Where tasks cannot open the files, they are scanned
+    from their start, and lines up to the offset are dropped.
     """
     saved = ledger.groupBy("path").agg(
         F.max("offset").alias("offset"), F.bool_or("completed").alias("completed"))
-    pending = listing.join(saved, "path", "left").where(
-        ~F.coalesce("completed", F.lit(False))
-    ).select("path", (F.coalesce("offset", F.lit(0)) > 0).alias("begun"))
-    new, begun = [], []
-    for row in pending.toLocalIterator():
-        (begun if row["begun"] else new).append(row["path"])
-    parts = []
-    if new or not begun:
-        parts.append(read_lines(spark, new, category, exact=exact))
-    if begun:
-        lines = read_lines(spark, begun, category, offsets=True)
-        parts.append(resume_lines(lines, saved).drop("end_offset"))
-    return reduce(DataFrame.unionByName, parts)
+    pending = computed_once(listing.select("path", "length").join(saved, "path", "left").where(
+        ~F.coalesce("completed", F.lit(False))).select("path", "length", F.coalesce("offset", F.lit(0)).alias("offset")))
+    begun = pending.where("offset > 0")
+    new = read_lines(spark, pending.where("offset <= 0"), category, exact=exact)
+    first = begun.select("path").first()
+    if first is None:
+        return new
+    if readable(first["path"]):
+        rest = tag_category(_by_ranges(begun), category)
+    else:
+        rest = resume_lines(read_lines(spark, begun, category, offsets=True), saved)
+    return new.unionByName(rest.drop("end_offset"))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.schema import LEDGER
+from sluice.sources import cleanup, ranges
 from sluice.sources.cleanup import delete_files, expire_older_than_days, inside
 from sluice.sources.files import (
     list_files, lines_of, match_files, order_files, plan_groups, read_lines, read_pending,
@@ -89,6 +90,98 @@ def test_read_lines_of_each_case(spark, folder, mode):
             assert [r.end_offset for r in mine] == ends, content
 
 
+def test_ranges_of_random_bytes():
+    """Whatever the ranges, chunks and offsets, the lines are those after the offset, each once."""
+    class File:
+        def __init__(self, content):
+            self.content = content
+
+        def read_at(self, size, at):
+            return self.content[at:at + size]
+
+    rng = random.Random(1)
+    before = ranges.CHUNK_BYTES
+    try:
+        for trial in range(2000):
+            ranges.CHUNK_BYTES = rng.choice([1, 2, 3, 7, 50])
+            weights = [5, 5, 1, 2] if trial % 2 else [20, 20, 1, 1]
+            content = bytes(rng.choices(b"ab\r\n", weights=weights, k=rng.randrange(60)))
+            offset, step = rng.randrange(len(content) + 1), rng.choice([1, 2, 5, 13, 100])
+            got = []
+            for start in range(offset, len(content), step):
+                for values, ends, after in ranges.lines_in(
+                        File(content), offset, start, min(start + step, len(content)), len(content)):
+                    edges = [0, *ends]
+                    got += [(values[a:b].tobytes().decode(), int(e)) for a, b, e in zip(edges, edges[1:], after)]
+            assert got == [x for x in zip(*expected(content)) if x[1] > offset], (content, offset, step)
+    finally:
+        ranges.CHUNK_BYTES = before
+
+
+def test_lines_by_ranges_of_each_case(spark, folder, monkeypatch):
+    mark = b"\xef\xbb\xbf"
+    contents = [c for c in CASES if c] + [mark + b"m\r\nn\r", mark + b"m\nn", b"\r", b"\r\r\n", b"\xff\xc3\n\xe9\r"]
+    root = folder({f"{i} a%b+c.log": c for i, c in enumerate(contents)})
+    listing = list_files(spark, root).withColumn("offset", F.lit(None).cast("bigint"))
+    for size in (2, 1000):
+        got = in_order(ranges.read_ranges(ranges.ranges_of(listing, size)))
+        for i, content in enumerate(contents):
+            mine = [r for r in got if r.file_path.endswith(f"/{i} a%b+c.log")]
+            lines, ends = expected(content)
+            assert [r.line for r in mine] == lines, content
+            assert [r.end_offset for r in mine] == ends, content
+
+
+def test_exact_reading_scans_contents_once(spark, folder):
+    root = folder({"a.log": b"x\r\ny\n", "b.log": b"z\r", "c.log": b"\xef\xbb\xbfm\n"})
+    lines = read_lines(spark, list_files(spark, root), "c")
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1 and "Join" not in plan
+    assert rows(lines.select("data")) == sorted(
+        [("",), ("x",), ("y",), ("z",), ("\ufeffm",)], key=repr)
+
+
+def test_resuming_reads_the_rest_only(spark, folder, monkeypatch):
+    body = b"".join(b"%06d\r\n" % i for i in range(5000))
+    root = folder({"a.log": body, "b.log": body, "c.log": body + b"end"})
+    listing = list_files(spark, root)
+    at = {"a.log": 39_992, "b.log": 39_995, "c.log": len(body)}
+    ledger = ledger_of(spark, *((f"file:{root}/{n}", offset, False) for n, offset in at.items()))
+    seen = spark.sparkContext.accumulator(0)
+    store_of = ranges.store_of
+
+    def counting(path):
+        store, name = store_of(path)
+
+        class File:
+            def __init__(self):
+                self.file = store.open_input_file(name)
+
+            def __enter__(self):
+                return self
+
+            def __exit__(self, *failure):
+                self.file.close()
+
+            def read_at(self, size, at):
+                data = self.file.read_at(size, at)
+                seen.add(len(data))
+                return data
+
+        class Store:
+            def open_input_file(self, name):
+                return File()
+        return Store(), name
+    monkeypatch.setattr(ranges, "store_of", counting)
+    monkeypatch.setattr(ranges, "CHUNK_BYTES", 512)
+    got = read_pending(spark, listing, ledger, "c").select("file_path", "data").collect()
+    lines, ends = expected(body)
+    for name, offset in at.items():
+        wanted = [x for x, e in zip(lines, ends) if e > offset] + (["end"] if name == "c.log" else [])
+        assert [r.data for r in got if r.file_path.endswith(name)] == wanted
+    assert seen.value <= 10 * 512 + sum(len(body) + 3 - offset for offset in at.values())
+
+
 @pytest.fixture
 def small_splits(spark):
     keys = {"spark.sql.files.maxPartitionBytes": "1000", "spark.sql.files.openCostInBytes": "1"}
@@ -302,6 +395,29 @@ def test_delete_files(spark, folder, tmp_path):
     assert os.listdir(root) == ["keep.txt"]
 
 
+def test_deletion_outcomes(spark, folder, tmp_path, monkeypatch):
+    root = folder({"a.log": b"1", "b.log": b"2", "sub/x.log": b"3", "locked.log": b"4"})
+    paths = spark.createDataFrame([(f"file:{root}/{n}",) for n in ("a.log", "b.log", "sub", "none.log", "locked.log", "a.log")], "path string")
+    out = str(tmp_path / "outcomes")
+    delete_file = cleanup._deleted
+    monkeypatch.setattr(cleanup, "_deleted", lambda path: "failed: busy" if "locked" in path else delete_file(path))
+
+    def states():
+        return {r["path"].rsplit("/", 1)[1]: r["state"] for r in cleanup.delete_in_tasks(paths, root, out).collect()}
+    want = {"a.log": "deleted", "b.log": "deleted", "sub": "not a file", "none.log": "absent"}
+    assert states() == want | {"locked.log": "failed: busy"}
+    assert sorted(os.listdir(root)) == ["locked.log", "sub"]
+    monkeypatch.setattr(cleanup, "_deleted", delete_file)
+    open(f"{root}/a.log", "w").close()  # a new file of that name is none of the old ones
+    assert states() == want | {"locked.log": "deleted"}
+    assert sorted(os.listdir(root)) == ["a.log", "sub"]
+    with pytest.raises(ValueError, match="not below"):
+        cleanup.delete_in_tasks(paths.union(spark.createDataFrame([(f"file:{root}/../x",)], "path string")), root, out)
+    for wrong in ("/", " ", "file:///"):
+        with pytest.raises(ValueError, match="refusing"):
+            cleanup.delete_in_tasks(paths, wrong, out)
+
+
 def test_inside():
     assert inside("file:/a/b/c.log", "/a/b")
     assert inside("file:/a/b/c#1?.log", "file:///a/b/")
