@@ -765,6 +765,26 @@ def throughput_of_20_seconds(spark, sf_dir):
     return rates.select("topic", "bucket_start", "n", *[F.round(c, 6).alias(c) for c in ("rate_1m", "rate_15m")])
 
 
+def _decayed_sql(minutes):
+    return (f"r.rate_{minutes} * pow(exp(-5 / {60 * minutes}.0), (epoch(b.bucket_start) - epoch(r.bucket_start)) / 5)"
+            f" + (1 - exp(-5 / {60 * minutes}.0)) * b.n / 5.0")
+
+
+@check(f"""WITH RECURSIVE b AS (
+  SELECT topic, bucket_start, n, row_number() OVER (PARTITION BY topic ORDER BY bucket_start) AS k FROM (
+    SELECT event_type AS topic, time_bucket(INTERVAL 5 SECOND, ts) AS bucket_start, count(*) AS n FROM events GROUP BY 1, 2)),
+r AS (SELECT topic, bucket_start, n, k, n / 5.0::DOUBLE AS rate_1, n / 5.0::DOUBLE AS rate_5, n / 5.0::DOUBLE AS rate_15
+  FROM b WHERE k = 1
+  UNION ALL SELECT b.topic, b.bucket_start, b.n, b.k, {_decayed_sql(1)}, {_decayed_sql(5)}, {_decayed_sql(15)}
+  FROM r JOIN b ON b.topic = r.topic AND b.k = r.k + 1)
+SELECT topic, bucket_start, n, round(rate_1, 6) AS rate_1m, round(rate_5, 6) AS rate_5m, round(rate_15, 6) AS rate_15m
+FROM r""")
+def decayed_rates(spark, sf_dir):
+    rates = counters.decayed_rates(event_messages(spark, sf_dir, "ts"), "ts")
+    return rates.select("topic", "bucket_start", "n", *[
+        F.round(c, 6).alias(c) for c in ("rate_1m", "rate_5m", "rate_15m")])
+
+
 @check("""SELECT event_type AS topic, count(*) AS n,
   (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000 AS seconds,
   round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000), 6) AS mean_rate

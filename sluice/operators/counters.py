@@ -1,8 +1,11 @@
 """Message counts at both ends of a pipeline, their comparison, rates and alerts."""
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.functions.joins import null_safe_lookup, stored
 from sluice.functions.times import epoch_micros, interval_start
 from sluice.operators.convert import rename_topics
 
@@ -88,6 +91,48 @@ def throughput(msgs: DataFrame, ts_col: str, bucket_seconds: int = 5) -> DataFra
     )
 
 
+def decayed_rates(msgs: DataFrame, ts_col: str, tick_seconds: int = 5, minutes=MOVING_MINUTES) -> DataFrame:
+    """Per topic and tick with messages: the count and, for each number of minutes, the exponentially decayed rate.
+
+    This is the rate of a meter that ticks: the first tick sets it, and each later one moves it towards its own rate by
+    1 - exp(-tick / minutes); ticks without messages decay it. Within an hour, decayed sums are running sums of scaled
+    counts. What an hour leaves behind is one number, which decays into the hours after it until it is below rounding,
+    so that no window is longer than an hour, and days, months and gaps make no difference. Messages without a time are
+    left out. `minutes` are 1 or more; a tick must divide a minute.
+    """
+    if tick_seconds < 1 or 60 % tick_seconds or min(minutes) < 1:
+        raise ValueError(f"a tick must divide 60 and minutes be 1 or more, not {tick_seconds} and {minutes}")
+    ticks = 3600 // tick_seconds
+    keep = {m: math.exp(-tick_seconds / (60 * m)) for m in minutes}
+    start = interval_start(msgs, ts_col, tick_seconds)
+    buckets = msgs.where(F.col(ts_col).isNotNull()).groupBy("topic", start.alias("bucket_start")).agg(
+        F.count(F.lit(1)).alias("n"))
+    at = epoch_micros(buckets, "bucket_start")
+    buckets = stored(buckets.withColumn("_tick", F.floor(at / (tick_seconds * 1_000_000))).withColumns({
+        "_hour": F.expr(f"floor(_tick / {ticks})"), "_in": F.expr(f"pmod(_tick, {ticks})")}))
+    first = buckets.groupBy("topic").agg(F.min("_tick").alias("_first"))
+    given = null_safe_lookup(buckets, first, ["topic"])
+    within = Window.partitionBy("topic", "_hour").orderBy("_in").rowsBetween(Window.unboundedPreceding, 0)
+    shares, sums, left = {}, {}, []
+    for m, q in keep.items():
+        # Scaled by the place in the hour, at most exp(60), all counts of an hour decay alike.
+        share = F.when(F.col("_tick") == F.col("_first"), 1.0).otherwise(1 - q) * F.col("n") / tick_seconds
+        shares[f"_share_{m}"] = share * F.pow(F.lit(q), -F.col("_in"))
+        sums[f"_sum_{m}"] = F.sum(f"_share_{m}").over(within) * F.pow(F.lit(q), F.col("_in"))
+        left.append((F.sum(f"_share_{m}") * q ** (ticks - 1)).alias(f"_left_{m}"))
+    shared = given.withColumns(shares)
+    hours = 2 + max(minutes) * 40 // 60
+    later = F.explode(F.sequence(F.lit(1), F.lit(hours))).alias("_later")
+    carried = shared.groupBy("topic", "_hour").agg(*left).select("*", later).groupBy(
+        "topic", (F.col("_hour") + F.col("_later")).alias("_hour")).agg(*(
+            F.sum(F.col(f"_left_{m}") * F.pow(F.lit(q ** ticks), F.col("_later") - 1)).alias(f"_carried_{m}")
+            for m, q in keep.items()))
+    rates = null_safe_lookup(shared.withColumns(sums), carried, ["topic", "_hour"])
+    return rates.select("topic", "bucket_start", "n", *(
+        (F.coalesce(f"_carried_{m}", F.lit(0.0)) * F.pow(F.lit(q), F.col("_in") + 1) + F.col(f"_sum_{m}")).alias(f"rate_{m}m")
+        for m, q in keep.items()))
+
+
 def write_counters(counters: DataFrame, path: str, fmt: str = "parquet",
                    mode: str = "append") -> None:
     """The built-in exporter. Any function of a DataFrame can stand in for it."""

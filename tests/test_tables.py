@@ -1,5 +1,6 @@
 """Counts, reconciliation, rates, batch numbers, snapshots."""
 
+import math
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from sluice.functions import joins
 from sluice.functions.joins import computed_once, fits_broadcast
 from sluice.functions.ranking import row_numbers
+from sluice.operators import counters
 from sluice.operators.batching import assign_batches
 from sluice.operators.counters import (
     count_by_interval, count_messages, delivery_alerts, mean_rates, reconcile, throughput,
@@ -168,3 +170,33 @@ def test_scratch_tables_go_with_their_scope(spark):
     files = gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     assert not files.exists(gone)
     assert last.count() == 2
+
+
+@pytest.mark.parametrize("tick", [5, 20])
+def test_decayed_rates_equal_a_meter(spark, tick):
+    """Tick by tick, over hours, a gap of days, null topics and null times."""
+    rng = random.Random(tick)
+    base = 1_700_000_000 - 1_700_000_000 % 3600
+    rows = [(topic, base + int(rng.expovariate(1 / 4000)) + late)
+            for topic, n in (("a", 900), (None, 300), ("one", 1)) for late in (0, 3 * 86_400) for _ in range(n)]
+    msgs = spark.createDataFrame([*rows, ("a", None)], "topic string, at long").select(
+        "topic", F.timestamp_seconds("at").alias("ts"))
+    want = {}
+    for topic in {t for t, _ in rows}:
+        counts = {}
+        for t, at in rows:
+            if t == topic:
+                counts[at // tick] = counts.get(at // tick, 0) + 1
+        rates = None
+        for k in range(min(counts), max(counts) + 1):
+            now = counts.get(k, 0) / tick
+            rates = [now] * 3 if rates is None else [
+                r + (1 - math.exp(-tick / (60 * m))) * (now - r) for r, m in zip(rates, (1, 5, 15))]
+            if k in counts:
+                want[topic, k * tick] = (counts[k], rates)
+    got = {(r["topic"], r["at"]): r for r in counters.decayed_rates(msgs, "ts", tick).withColumn(
+        "at", F.unix_seconds("bucket_start")).collect()}
+    assert got.keys() == want.keys()
+    for key, (n, rates) in want.items():
+        assert got[key]["n"] == n
+        assert [got[key][f"rate_{m}m"] for m in (1, 5, 15)] == pytest.approx(rates, rel=1e-9, abs=1e-12)
