@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F, types as T
 
 from sluice.llm import words as W
+from sluice.llm.shared import Shared
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -117,7 +118,7 @@ def with_hits(docs: DataFrame, items: DataFrame, id_col="item_id", text_col="tex
     spark = docs.sparkSession
     hits = None
     for block in item_blocks(items, id_col, item_text_col, block_bytes):
-        shared = spark.sparkContext.broadcast(Index(block, threshold, n))
+        shared = Shared(spark, Index(block, threshold, n))
         found = _finder(shared)(text_col)
         hits = found if hits is None else F.concat(hits, found)
     return docs.withColumn(hits_col, hits)

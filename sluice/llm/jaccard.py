@@ -9,7 +9,6 @@ them than `spare` covers: two partners that agree on nothing else have both more
 """
 
 import math
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +27,9 @@ BLOCK_ELEMENTS = 500_000
 BLOCK_SETS = 1_500
 COMPARE_CELLS = 4 << 20
 _RANDOM = 0xD6E8FEB86659FD93
+_allocated = {}
 
 
-@lru_cache(maxsize=100_000)
 def allocate(low: int, high: int, most: int):
     """(segments, neighbourhoods, spare) for sets of low to high elements that differ in at most `most`.
 
@@ -38,6 +37,13 @@ def allocate(low: int, high: int, most: int):
     segments have large neighbourhoods, many have empty segments, for which spare ones must be paid. Where those would be too
     many, all segments are whole and empty ones are indexed.
     """
+    # A plain dict, as a decorated function would be sent by its name.
+    if (low, high, most) not in _allocated:
+        _allocated[low, high, most] = _cheapest(low, high, most)
+    return _allocated[low, high, most]
+
+
+def _cheapest(low, high, most):
     best = None
     for m in range(1, most + most // 4 + 8):
         empty = m * math.exp(-low / m) if m > 1 else 0.0

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F, types as T
 
 from sluice.functions.joins import stored
 from sluice.llm import words as W
+from sluice.llm.shared import Shared
 
 SHRINKAGE = 0.1
 RIDGE = 0.02
@@ -135,7 +136,7 @@ def fit(labelled: DataFrame, shrinkage=SHRINKAGE, ridge=RIDGE) -> Discriminant:
 
 def scored(docs: DataFrame, model: Discriminant, stats_col="stats", score_col="score") -> DataFrame:
     """`docs` with the score of each row's statistics."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     @F.arrow_udf(T.DoubleType())
     def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:

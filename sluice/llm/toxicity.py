@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F, types as T
 
 from sluice.functions.joins import stored
+from sluice.llm.shared import Shared
 
 BUCKETS = 1 << 18
 WIDTH = 8
@@ -233,7 +234,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, learn, id_col="doc_id",
 
 def scored(docs: DataFrame, model: Network, text_col="text", score_col="score") -> DataFrame:
     """`docs` with the toxicity score of each whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     @F.arrow_udf(T.DoubleType())
     def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:

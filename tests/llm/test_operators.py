@@ -260,7 +260,9 @@ def test_mixing_takes_odd_rows(spark):
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(None, 3)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    table = spark.createDataFrame(edges, "a long, b long")
+    got = {r["node"]: r["component"] for r in components(table).collect()}
+    assert got == {r["node"]: r["component"] for r in components(table, per_group=len(edges) // 5 + 1).collect()}
     parent = {}
 
     def root(i):
