@@ -8,6 +8,7 @@ are entries of a file listing and of a ledger. All queries run over whole tables
 import json
 import os
 import uuid
+from datetime import datetime, timedelta, timezone
 from functools import reduce
 
 import pyarrow.dataset
@@ -661,6 +662,27 @@ def dead_letter_replay(spark, sf_dir):
     return deadletter.pending_letters(spark, letters, replayed).select("topic", "data", "error")
 
 
+@check("""SELECT event_id, CASE event_type WHEN 'view' THEN 1 WHEN 'error' THEN 3 ELSE 2 END AS tries,
+  CASE event_type WHEN 'error' THEN 'quarantined' ELSE 'delivered' END AS state FROM events WHERE value < 10""")
+def replay_with_attempts(spark, sf_dir):
+    """Views are delivered at the first try, errors never, others at the second; pauses are kept between."""
+    msgs = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("topic"), F.col("event_id").cast("string").alias("data"), "value")
+    letters, attempts = scratch_dir(spark, "letters"), scratch_dir(spark, "attempts")
+    deadletter.store_failures(refuse_low_values(msgs).where(F.col("error").isNotNull()), letters, "events", "run")
+
+    def send(again):
+        return again.withColumn("error", F.when((F.col("topic") == "error") | (
+            (F.col("topic") != "view") & (F.col("tries") == 0)), "busy"))
+
+    start = datetime(2024, 5, 1, tzinfo=timezone.utc)
+    for minutes in (0, 0.5, 2, 2.5, 10, 60):  # the second and the fourth come too soon
+        deadletter.replay_due(spark, letters, attempts, send, start + timedelta(minutes=minutes), max_tries=3)
+    tried = deadletter.attempts_log(spark, attempts).load()[1]
+    return deadletter.load_letters(spark, letters).join(tried.drop("error"), deadletter.KEY).select(
+        F.col("data").cast("bigint").alias("event_id"), "tries", "state")
+
+
 # Counts
 
 @check("SELECT 'events' AS name, event_type AS topic, count(*) AS delta FROM events GROUP BY ALL")

@@ -3,12 +3,14 @@
 import json
 import os
 import uuid
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from sluice.operators.deadletter import (
-    discard, load_letters, pending_letters, replay, store_failures)
+    discard, load_letters, pending_letters, quarantined_letters, release, replay, replay_due,
+    store_failures)
 from sluice.schema import ENTRY, MESSAGE
 from sluice.sinks.delivery import EndpointSink, FileSink, deliver
 from sluice.sinks.endpoint import (
@@ -280,6 +282,33 @@ def test_dead_letters_and_replay(spark, tmp_path):
     assert load_letters(spark, path).count() == 1
 
 
+def test_replay_pauses_and_quarantine(spark, tmp_path):
+    path, attempts = str(tmp_path / "letters"), str(tmp_path / "attempts")
+    start, calls = datetime(2024, 5, 1, tzinfo=timezone.utc), []
+
+    def at(seconds, fail=("a", "b")):
+        def send(letters):
+            calls.append(sorted((r["data"], r["tries"]) for r in letters.collect()))
+            return letters.withColumn("error", F.when(F.col("data").isin(*fail), "why"))
+        return replay_due(spark, path, attempts, send, start + timedelta(seconds=seconds), max_tries=3, pause_seconds=60)
+    assert at(0) == {"delivered": 0, "waiting": 0, "quarantined": 0}
+    failed = spark.createDataFrame([("t", d, "why") for d in "abc"], "topic string, data string, error string")
+    store_failures(failed, path, "p", "run", 1)
+    assert at(0) == {"delivered": 1, "waiting": 2, "quarantined": 0}
+    assert at(59) == {"delivered": 0, "waiting": 0, "quarantined": 0}
+    store_failures(failed.where("data = 'c'"), path, "p", "run", 2)  # a new letter is due at once
+    assert at(60, ("a",)) == {"delivered": 2, "waiting": 1, "quarantined": 0}
+    assert at(179) == {"delivered": 0, "waiting": 0, "quarantined": 0}
+    assert at(180) == {"delivered": 0, "waiting": 0, "quarantined": 1}
+    assert at(10 ** 6) == {"delivered": 0, "waiting": 0, "quarantined": 0}
+    assert calls == [[], [("a", 0), ("b", 0), ("c", 0)], [], [("a", 1), ("b", 1), ("c", 0)], [], [("a", 2)], []]
+    lost = quarantined_letters(spark, path, attempts)
+    assert rows(lost.select("data", "tries", "error")) == [("a", 3, "why")]
+    release(spark, attempts, lost)
+    assert quarantined_letters(spark, path, attempts).count() == 0
+    assert at(10 ** 6, ()) == {"delivered": 1, "waiting": 0, "quarantined": 0}
+
+
 def test_write_endpoint(spark, tmp_path):
     write_endpoint(entries(spark, 30), client_of(tmp_path), EndpointOptions(("h1",), 10, **QUICK))
     assert sorted(len(b) for b in sent(tmp_path)) == [10, 10, 10]
