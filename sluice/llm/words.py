@@ -127,16 +127,18 @@ def shingles(hashes, bounds, n: int, short: bool = True):
 
 
 @contextmanager
-def small_batches(spark, rows: int = 500):
-    """While jobs run in here, at most `rows` rows go to Python at once, as these rows hold whole sets of shingles."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    if not 0 < int(before) <= rows:
-        spark.conf.set(name, str(rows))
+def small_batches(spark, rows: int = 500, size: int | None = None):
+    """While jobs run in here, at most `rows` rows and about `size` bytes go to Python at once, as these rows hold whole sets of shingles."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {name: spark.conf.get(name) for name, most in limits.items() if most}
+    for name, old in before.items():
+        if name.endswith("BytesPerBatch") or not 0 < int(old) <= limits[name]:
+            spark.conf.set(name, str(limits[name]))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, old in before.items():
+            spark.conf.set(name, old)
 
 
 def texts_of(texts) -> pa.Array:
