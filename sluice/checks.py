@@ -19,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from sluice.functions.joins import computed_once, lookup_join, stored
 from sluice.functions.ranking import row_numbers
 from sluice.functions.text import decode_utf8
+from sluice.functions.times import epoch_micros
 from sluice.operators import convert, counters, deadletter
 from sluice.operators.batching import assign_batches
 from sluice.operators.lines import line_offsets, resume_lines, split_lines, tag_category
@@ -756,6 +757,45 @@ def delivery_alerts(spark, sf_dir):
     return counters.delivery_alerts(reconcile(spark, sf_dir), 0.18)
 
 
+STREAM_RECONCILE_SQL = f"""SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start,
+  {RENAME_CASE.format(c='event_type')} AS topic, count(*) AS read, count(*) FILTER (WHERE NOT lost) AS written,
+  count(*) FILTER (WHERE lost) AS missing
+FROM (SELECT *, ts >= TIMESTAMP '2024-01-10 05:00:00' AND ts < TIMESTAMP '2024-01-10 23:00:00' AS lost FROM events)
+GROUP BY 1, 2"""
+
+
+@check(STREAM_RECONCILE_SQL)
+def reconcile_two_streams(spark, sf_dir):
+    """Both ends as streams of three rounds: some hours are lost at the sink, the last ones of a round come in the next.
+
+    The third round is one message of a later time, which closes all intervals before.
+    """
+    base = scratch_dir(spark, "ends")
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("topic"), "ts")
+    cut, late = "ts < TIMESTAMP_NTZ '2024-01-15 00:00:00'", "ts < TIMESTAMP_NTZ '2024-01-14 22:00:00'"
+    lost = "ts >= TIMESTAMP_NTZ '2024-01-10 05:00:00' AND ts < TIMESTAMP_NTZ '2024-01-10 23:00:00'"
+    renamed = convert.rename_topics(events.withColumn("data", F.lit("")), RENAMES).drop("data").where(f"NOT ({lost})")
+    end = spark.range(1).select(F.lit("end").alias("topic"), F.lit("2024-06-01 00:00:00").cast("timestamp_ntz").alias("ts"))
+    for name, rows, first in (("read", events, cut), ("written", renamed, late)):
+        for part in (rows.where(first), rows.where(f"NOT ({first})"), end):
+            at = F.timestamp_micros(epoch_micros(part, "ts"))
+            part.select("topic", at.alias("ts")).coalesce(1).write.mode("append").parquet(f"{base}/{name}")
+    ends = [spark.readStream.schema("topic string, ts timestamp").option("maxFilesPerTrigger", "1").parquet(f"{base}/{name}")
+            for name in ("read", "written")]
+    counted = counters.reconcile_streams(*ends, "ts", 86_400, "3 hours", RENAMES)
+    counted.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(
+        availableNow=True).start(f"{base}/out").awaitTermination()
+    found = spark.read.schema(counted.schema).parquet(f"{base}/out")
+    since = F.make_dt_interval(secs=(F.unix_micros("window_start") / 1_000_000).cast("decimal(18,6)"))
+    return found.withColumn("window_start", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + since)
+
+
+@check(f"SELECT * FROM ({STREAM_RECONCILE_SQL}) WHERE missing > read * 0.5")
+def alerts_of_streams(spark, sf_dir):
+    """The intervals and topics that stay short by more than half."""
+    return counters.delivery_alerts(reconcile_two_streams(spark, sf_dir), 0.5)
+
+
 @check("""WITH b AS (
   SELECT event_type AS topic, time_bucket(INTERVAL 5 SECOND, ts) AS bucket_start, count(*) AS n
   FROM events GROUP BY 1, 2)

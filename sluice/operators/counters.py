@@ -50,6 +50,25 @@ def reconcile(source_counts: DataFrame, sink_counts: DataFrame, mappings=None) -
     ).withColumn("missing", F.col("read") - F.col("written"))
 
 
+def reconcile_streams(read: DataFrame, written: DataFrame, ts_col: str, seconds: int = 60,
+                      watermark: str = "10 minutes", mappings=None) -> DataFrame:
+    """Read and written messages per interval and topic name at the sink, from the streams of both ends.
+
+    The streams are stacked and counted with one watermark, so the state is one row per open interval and topic. An
+    interval comes out once, when the later messages of both ends have moved the watermark past it: what is missing then
+    was lost, or came later than the delay. `delivery_alerts` picks the intervals that stay short.
+    """
+    read = rename_topics(read, mappings) if mappings is not None else read
+    one, none = F.lit(1), F.lit(0)
+    both = read.select("topic", ts_col, one.alias("read"), none.alias("written")).unionByName(
+        written.select("topic", ts_col, none.alias("read"), one.alias("written")))
+    window = F.window(ts_col, f"{seconds} seconds").alias("_window")
+    return both.withWatermark(ts_col, watermark).groupBy(window, "topic").agg(
+        F.sum("read").alias("read"), F.sum("written").alias("written")).select(
+        F.col("_window.start").alias("window_start"), "topic", "read", "written",
+        (F.col("read") - F.col("written")).alias("missing"))
+
+
 def delivery_alerts(reconciled: DataFrame, max_missing_ratio: float) -> DataFrame:
     """Topics that miss more than the given part of what was read."""
     return reconciled.where(F.col("missing") > F.col("read") * F.lit(max_missing_ratio))
