@@ -124,9 +124,14 @@ class Pipeline:
 
 
 def from_conf(conf: dict, state: str, client_factory: Callable | None = None,
-              parts: dict | None = None, lanes: int | None = None, **file_options) -> Pipeline:
+              parts: dict | None = None, lanes: int | None = None,
+              exporter: Callable[[DataFrame], None] | None = None, **file_options) -> Pipeline:
     """Build a pipeline from a configuration.
 
+    Batches of files keep a ledger, and batches of Kafka topics their positions, under `state`, unless `ledger_path` or
+    `parts` say otherwise. `delete_expired=True` lets a file source delete matching files beyond the retention whenever it
+    lists for a batch. `exporter` is given the counts of each batch.
+
     Thread numbers are not taken over: tasks read and send. `lanes` limits the senders to a
     number, at the price of a shuffle.
 
@@ -143,7 +148,8 @@ def from_conf(conf: dict, state: str, client_factory: Callable | None = None,
             c["source.file.directory"], c["source.file.category"],
             get(c, "source.file.include.pattern"), get(c, "source.file.retention.second"),
             get(c, "source.file.read.order"), get(c, "source.file.delete.after.read"),
-            scan_seconds=get(c, "source.file.scan.interval.second"), **file_options)
+            scan_seconds=get(c, "source.file.scan.interval.second"),
+            **{"ledger_path": f"{state}/ledger", **file_options})
 
     def endpoint_sink(c):
         if client_factory is None:
@@ -161,7 +167,7 @@ def from_conf(conf: dict, state: str, client_factory: Callable | None = None,
         return lambda msgs: rename_topics(msgs, mappings)
 
     known = {
-        "FileSource": file_source, "KafkaSource": KafkaSource,
+        "FileSource": file_source, "KafkaSource": lambda c: KafkaSource(c, positions=f"{state}/positions"),
         "DefaultConverter": lambda c: identity, "TopicNameConverter": rename,
         "DefaultStore": lambda c: store_failures, "DiscardStore": lambda c: discard,
         "KafkaSink": KafkaSink, "ScribeSink": endpoint_sink,
@@ -170,7 +176,8 @@ def from_conf(conf: dict, state: str, client_factory: Callable | None = None,
         if part not in known:
             raise ValueError(f"{name}: pipeline.{key} names an unknown part {part}")
     built = {key: known[part](conf) for key, part in named.items()}
-    return Pipeline(name, built["source"], built["sink"], state, built["converter"], built["store"])
+    return Pipeline(
+        name, built["source"], built["sink"], state, built["converter"], built["store"], exporter)
 
 
 def start_all(spark: SparkSession, pipelines: dict[str, Callable[[], Pipeline]], **trigger):

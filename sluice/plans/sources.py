@@ -30,7 +30,8 @@ class FileSource:
     """A watched folder. A batch reads what the ledger at `ledger_path` has not seen yet.
 
     `max_files` bounds a micro-batch, and with `max_bytes` a group of a batch with a ledger; groups follow `order`.
-    The folder is listed once for all groups of a run, and each group adds its own progress to the ledger.
+    The folder is listed once for all groups of a run, and each group adds its own progress to the ledger. With
+    `delete_expired`, matching files beyond the retention are deleted, read or not, when a batch lists.
     """
 
     name = "FileSource"
@@ -39,12 +40,13 @@ class FileSource:
                  retention_seconds: int = DEFAULT_RETENTION_SECONDS, order: str = "asc",
                  delete_after_read: bool = False, ledger_path: str | None = None,
                  max_files: int | None = MAX_FILES, scan_seconds: int = 30, exact: bool = True,
-                 max_bytes: int | None = None):
+                 max_bytes: int | None = None, delete_expired: bool = False):
         self.directory, self.category = directory, category
         self.include_pattern, self.retention_seconds = include_pattern, retention_seconds
         self.order, self.delete_after_read = order, delete_after_read
         self.ledger_path, self.max_files, self.max_bytes = ledger_path, max_files, max_bytes
         self.scan_seconds, self.exact = scan_seconds, exact
+        self.remove_expired = delete_expired
         self.run_id, self.more = None, False
 
     def listing(self, spark: SparkSession):
@@ -54,7 +56,7 @@ class FileSource:
 
     def batch(self, spark: SparkSession) -> DataFrame:
         if not self.ledger_path:
-            self._live = self.listing(spark)[0]
+            self._live = self._listed(spark)
             return read_pending(spark, self._live, spark.createDataFrame([], LEDGER), self.category, self.exact)
         if not self.more:
             self._plan_run(spark)
@@ -63,12 +65,19 @@ class FileSource:
         self._live = self._plan.where(F.col("group") == self._group).drop("group")
         return read_pending(spark, self._live, self._ledger, self.category, self.exact)
 
+    def _listed(self, spark):
+        """The live files of one listing; expired ones go, if so configured."""
+        live, expired = self.listing(spark)
+        if self.remove_expired:
+            delete_files(expired, self.directory, dry_run=False)
+        return stored(live)
+
     def _plan_run(self, spark):
         """List once, note what has gone from the folder, and cut what waits into groups."""
         log = ledger_log(spark, self.ledger_path)
         self._number, loaded = log.load()
         self._ledger = stored(loaded)
-        listed = stored(self.listing(spark)[0])
+        listed = self._listed(spark)
         done = self._ledger.where("completed").select("path")
         self._gone = self._ledger.join(listed.select("path"), "path", "left_anti").withColumn("removed", F.lit(True))
         self._plan = plan_groups(listed.join(done, "path", "left_anti"), self.order, self.max_files, self.max_bytes)

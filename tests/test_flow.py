@@ -252,3 +252,27 @@ def test_kafka_pipeline_from_configuration():
         "sink.kafka.bootstrap.servers": "h:9092"}, "state")
     assert (flow.source.name, flow.sink.name) == ("KafkaSource", "KafkaSink")
     assert flow.converter("msgs") == "msgs"
+
+
+def test_configured_batches_keep_state_and_expire(spark, folder, tmp_path):
+    root, seen = folder(CONTENT, AGES), []
+    conf = {"pipeline.name": "p", "pipeline.source": "FileSource", "pipeline.converter": "DefaultConverter",
+            "pipeline.store": "DefaultStore", "pipeline.sink": "own", "source.file.directory": root,
+            "source.file.category": "cat", "source.file.retention.second": "3600"}
+    sink = {"own": lambda c: FileSink(str(tmp_path / "out"))}
+
+    def flow(**options):
+        return from_conf(conf, str(tmp_path / "state"), parts=sink, exporter=lambda counts: seen.append(counts.count()), **options)
+    assert flow().run_batch(spark)["read"] == 11 and os.path.exists(f"{root}/old.log")
+    assert flow(delete_expired=True).run_batch(spark)["read"] == 0 and not os.path.exists(f"{root}/old.log")
+    assert len(seen) == 2 and seen[0] >= 2
+    assert sorted(os.listdir(root)) == sorted(set(CONTENT) - {"old.log"})
+
+
+def test_one_listing_serves_all_groups(spark, folder, tmp_path, monkeypatch):
+    root = folder({f"{i:02d}.log": b"x\n" for i in range(12)})
+    flow = file_flow(root, tmp_path, max_files=3)
+    listed, listing = [], flow.source.listing
+    monkeypatch.setattr(flow.source, "listing", lambda spark: listed.append(1) or listing(spark))
+    assert flow.run_batch(spark)["read"] == 12 and len(listed) == 1
+    assert flow.run_batch(spark)["read"] == 0 and len(listed) == 2
