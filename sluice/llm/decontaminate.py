@@ -77,21 +77,34 @@ class Index:
                         found.add((int(d), int(starts[w]), int(min(starts[w] + 2 * top, bounds[d + 1])), int(item)))
         return found
 
+    def _hits(self, pieces, item):
+        """(places of an item's shingles, the share of them that is there)."""
+        wanted = self.sets[item]
+        place = np.minimum(np.searchsorted(wanted, pieces), len(wanted) - 1)
+        hit = wanted[place] == pieces
+        return np.flatnonzero(hit), len(np.unique(place[hit])) / len(wanted)
+
     def search(self, data, offsets):
-        """{document: {item: (containment, first word, last word)}}, verified by exact containment in a window."""
+        """{document: {item: (containment, first word, last word)}}, verified by exact containment in the document.
+
+        The words are those of the best window, or of all parts where no window holds enough of the item.
+        """
         hashes, _, _, word_bounds = W.split_words(data, offsets)
         pieces, bounds = W.shingles(hashes, word_bounds, self.n, short=False)
         out = {}
         if not len(pieces):
             return out
+        best = {}
         for d, a, b, item in sorted(self.candidates(pieces, bounds)):
-            window, wanted = pieces[a:b], self.sets[item]
-            place = np.minimum(np.searchsorted(wanted, window), len(wanted) - 1)
-            hit = wanted[place] == window
-            share = len(np.unique(place[hit])) / len(wanted)
-            if share >= self.threshold and share > out.get(d, {}).get(item, (0,))[0]:
-                at = np.flatnonzero(hit) + a - bounds[d]
-                out.setdefault(d, {})[item] = (share, int(at[0]), int(at[-1]) + self.n)
+            places, share = self._hits(pieces[a:b], item)
+            if share > best.get((d, item), (-1.0,))[0]:
+                best[d, item] = share, places + a
+        for (d, item), (share, places) in best.items():
+            # Parts of an item may stand far apart, so what counts is the whole document.
+            whole, contained = self._hits(pieces[bounds[d]:bounds[d + 1]], item)
+            if contained >= self.threshold:
+                at = (places if share >= self.threshold else whole + bounds[d]) - bounds[d]
+                out.setdefault(d, {})[item] = (contained, int(at[0]), int(at[-1]) + self.n)
         return out
 
 
@@ -109,7 +122,7 @@ def with_hits(docs: DataFrame, items: DataFrame, id_col="item_id", text_col="tex
               threshold: float = THRESHOLD, n: int = SHINGLE, hits_col="hits", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`docs` with `hits`: the items found in each whole text, as (item_id, containment, start_word, end_word).
 
-    An item is found if a window of the document holds at least `threshold` of its different shingles of n words.
+    An item is found if the document holds at least `threshold` of its different shingles of n words, in one place or in parts.
     Words are runs of bytes other than ASCII white space, A-Z as a-z. Items with fewer than n words, or null text, are never
     found; a null text has no hits. Repeated items are found once for each id; items with a null id have null there.
     Extra columns stay; one named like `hits_col` is replaced. No rows are shuffled. Items are broadcast in blocks of at

@@ -167,8 +167,11 @@ def best_cut(margins, labels):
     return float((m[i] + m[i + 1]) / 2 if i + 1 < len(m) else m[i] - 1)
 
 
-def fit(sample: DataFrame, calibrate_every: int = 4, least_positive: int = 20, epochs=EPOCHS) -> Network:
-    """Train on the rows (label, lang, ids, n) of a bounded sample, every fourth kept for the thresholds."""
+def fit(sample: DataFrame, calibrate_every: int = 4, pooled: int = 20, epochs=EPOCHS) -> Network:
+    """Train on the rows (label, lang, ids, n) of a bounded sample, every fourth kept for the thresholds.
+
+    Each language with a positive among those has its own threshold, drawn towards the common one as if by `pooled` positives.
+    """
     rows = sorted(sample.collect(), key=lambda r: (r["n"], bytes(r["ids"])))
     rng = np.random.default_rng(1)
     rows = [rows[i] for i in rng.permutation(len(rows))]
@@ -194,8 +197,9 @@ def fit(sample: DataFrame, calibrate_every: int = 4, least_positive: int = 20, e
         languages = np.array([rows[i]["lang"] or "" for i in held])
         for language in np.unique(languages):
             of = languages == language
-            if labels[held][of].sum() >= least_positive:
-                cut = best_cut(margins[of], labels[held][of]) - net.shift
+            positive = int(labels[held][of].sum())
+            if 0 < positive < of.sum():
+                cut = (best_cut(margins[of], labels[held][of]) - net.shift) * positive / (positive + pooled)
                 net.thresholds[str(language)] = float(1 / (1 + np.exp(-cut)))
     return net
 

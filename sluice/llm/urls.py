@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sluice.functions.joins import stored
 
 DAMPING = 0.85
-ROUNDS = 20
+TOLERANCE = 1e-6
 CUT_EVERY = 5
 THRESHOLD = 0.75
 # What a tag points to. Fixed pattern.
@@ -71,13 +71,14 @@ def host_edges(pages: DataFrame, html_col="html") -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank: (host, score) for hosts that seeds reach over `edges` (src, dst, n).
 
     `seeds` is (host, weight); weights are made to sum to 1. score = (1 - damping) * seed + damping * what
     comes in, each host giving its score to its targets by n; what hosts without targets hold goes nowhere, so
     a score depends only on paths from seeds. Each round is one join and one pre-aggregated sum by host.
-    Every few rounds the lineage is cut by a table in the shared folder.
+    Every few rounds the lineage is cut by a table in the shared folder. Scores only grow, so it ends when
+    rounds reach no further host and add `tolerance` at most to the sum of all scores.
     """
     seeds = seeds.filter("weight > 0")
     total = seeds.agg(F.sum("weight").alias("total")).first()["total"] or 1.0
@@ -86,17 +87,20 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
         return start
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     shares = stored(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")))
-    scores = start
-    for i in range(rounds):
-        moved = shares.join(scores, F.col("src") == F.col("host")).select(
-            F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-        scores = start.unionByName(moved).groupBy("host").agg(F.sum("score").alias("score"))
-        if (i + 1) % CUT_EVERY == 0 or i + 1 == rounds:
-            scores = stored(scores)
-    return scores
-
-
-def host_scores(pages: DataFrame, edges: DataFrame, damping=DAMPING, rounds=ROUNDS) -> DataFrame:
+    scores, seen = start, (-1, 0.0)
+    while True:
+        for _ in range(CUT_EVERY):
+            moved = shares.join(scores, F.col("src") == F.col("host")).select(
+                F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
+            scores = start.unionByName(moved).groupBy("host").agg(F.sum("score").alias("score"))
+        scores = stored(scores)
+        now = tuple(scores.agg(F.count("host"), F.coalesce(F.sum("score"), F.lit(0.0))).first())
+        if now[0] == seen[0] and now[1] - seen[1] <= tolerance:
+            return scores
+        seen = now
+
+
+def host_scores(pages: DataFrame, edges: DataFrame, damping=DAMPING, tolerance=TOLERANCE) -> DataFrame:
     """(host, trust, distrust). A host is a seed by the share of its pages that rules allow or block. Trust follows
     links; distrust follows them backwards: to hosts that link to blocked ones."""
     verdict = F.col("_said.verdict")
@@ -104,8 +108,8 @@ def host_scores(pages: DataFrame, edges: DataFrame, damping=DAMPING, rounds=ROUN
         F.count(F.lit(1)).alias("n"), F.sum((verdict == "allow").cast("long")).alias("good"),
         F.sum((verdict == "block").cast("long")).alias("bad")))
     backwards = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    trust = propagate(edges, seeds.select("host", (F.col("good") / F.col("n")).alias("weight")), damping, rounds)
-    distrust = propagate(backwards, seeds.select("host", (F.col("bad") / F.col("n")).alias("weight")), damping, rounds)
+    trust = propagate(edges, seeds.select("host", (F.col("good") / F.col("n")).alias("weight")), damping, tolerance)
+    distrust = propagate(backwards, seeds.select("host", (F.col("bad") / F.col("n")).alias("weight")), damping, tolerance)
     zero = F.lit(0.0)
     both = trust.select("host", F.col("score").alias("trust"), zero.alias("distrust")).unionByName(
         distrust.select("host", zero.alias("trust"), F.col("score").alias("distrust")))
@@ -113,7 +117,7 @@ def host_scores(pages: DataFrame, edges: DataFrame, damping=DAMPING, rounds=ROUN
 
 
 def filter_urls(pages: DataFrame, rules, url_col="url", html_col="html", threshold: float = THRESHOLD,
-                damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+                damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """All rows of `pages` with host, path, rule, verdict, trust and distrust; columns of these names are replaced.
 
     A rule is (allow or block, 'host/path'): it fits its host and all subdomains, if the url's path starts with
@@ -127,7 +131,7 @@ def filter_urls(pages: DataFrame, rules, url_col="url", html_col="html", thresho
     names = ["host", "path", "rule", "verdict", "trust", "distrust"]
     pages = judged(pages.drop(*(set(names) - {url_col, html_col})), rules, url_col)
     edges = stored(host_edges(pages, html_col))
-    scores = host_scores(pages, edges, damping, rounds).withColumnRenamed("host", "_host")
+    scores = host_scores(pages, edges, damping, tolerance).withColumnRenamed("host", "_host")
     bad = (F.col("distrust") > 0) & (F.col("distrust") >= threshold * (F.col("trust") + F.col("distrust")))
     said = F.coalesce(F.col("_said.verdict"), F.when(bad, "block").otherwise("allow"))
     out = pages.join(scores, "_host", "left").withColumns({

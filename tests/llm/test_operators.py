@@ -157,7 +157,23 @@ def test_trust_and_distrust_follow_links(spark):
                         "helper.net": "block", "behind.net": "block", "alone.net": "allow"}
 
 
-def plain_rank(targets, seeds, damping=0.85, rounds=20):
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    """Thirty hosts that link on to a blocked one, in a ring with a side way; scores equal those of many rounds."""
+    link = '<a href="http://{}/p">x</a>'
+    rows = [(i, f"http://h{i}.net/", link.format(f"h{i + 1}.net") + (link.format("h3.net") if i == 9 else "")) for i in range(29)]
+    rows += [(29, "http://h29.net/", link.format("x.com")), (30, "http://x.com/de/1", link.format("h20.net")), (31, "http://else.net/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["host"]: r for r in urls.filter_urls(pages, queries.URL_RULES).collect()}
+    back = {f"h{i + 1}.net": [f"h{i}.net"] for i in range(29)} | {"x.com": ["h29.net"]}
+    back["h3.net"] = ["h2.net", "h9.net"]
+    back["h20.net"] = ["h19.net", "x.com"]
+    want = plain_rank(back, {"x.com": 1.0})
+    for host, row in got.items():
+        assert row["distrust"] == pytest.approx(want.get(host, 0), abs=1e-6)
+        assert row["verdict"] == ("allow" if host == "else.net" else "block")
+
+
+def plain_rank(targets, seeds, damping=0.85, rounds=200):
     start = {h: (1 - damping) * w for h, w in seeds.items()}
     scores = dict(start)
     for _ in range(rounds):
@@ -215,6 +231,19 @@ def test_decontamination_of_odd_rows(spark):
     assert decontaminate.decontaminated(docs.limit(0), items).count() == 0
 
 
+def test_an_item_in_parts_is_found(spark):
+    """Halves far apart hold .89 of an item's shingles together, and neither holds enough alone."""
+    item = prose(90, 40).split()
+    halves = " ".join(item[:20]) + " {} " + " ".join(item[20:])
+    docs = spark.createDataFrame(
+        [(1, halves.format(prose(91, 100))), (2, halves.format(prose(92, 5000)) + " " + prose(93, 900)),
+         (3, " ".join(item[:20]) + " " + prose(94, 500))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    rows = decontaminate.contaminated(docs, items, ["doc_id"]).collect()
+    assert sorted((r["doc_id"], r["start_word"], r["end_word"]) for r in rows) == [(1, 0, 140), (2, 0, 5040)]
+    assert all(r["containment"] == pytest.approx(32 / 36) for r in rows)
+
+
 def plain_fill(budget, children):
     """Water filling with exact fractions: {child: tokens}."""
     given, left = {}, dict(children)
