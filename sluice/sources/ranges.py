@@ -18,6 +18,8 @@ from sluice.functions.text import decode_utf8
 
 RANGE_BYTES = 64 << 20
 CHUNK_BYTES = 4 << 20
+# Read at once beyond a range, to find where its last line ends.
+BEYOND_BYTES = 1 << 14
 BATCH_LINES = 100_000
 # Stores of PyArrow, by the schemes that Spark knows them by.
 SCHEMES = {"": "file", "file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
@@ -67,7 +69,7 @@ def lines_in(file, offset: int, start: int, stop: int, length: int):
         at, searching = start - 1, True
     begun, pieces, position = at, [], at
     while position < length and (begun < stop or pieces):
-        data = file.read_at(min(CHUNK_BYTES, length - position), position)
+        data = file.read_at(min(CHUNK_BYTES, length - position, max(stop - position, BEYOND_BYTES)), position)
         if not data:
             break
         found = np.flatnonzero(np.isin(np.frombuffer(data, np.uint8), (10, 13))) + 1

@@ -100,10 +100,10 @@ def test_ranges_of_random_bytes():
             return self.content[at:at + size]
 
     rng = random.Random(1)
-    before = ranges.CHUNK_BYTES
+    before = ranges.CHUNK_BYTES, ranges.BEYOND_BYTES
     try:
         for trial in range(2000):
-            ranges.CHUNK_BYTES = rng.choice([1, 2, 3, 7, 50])
+            ranges.CHUNK_BYTES, ranges.BEYOND_BYTES = rng.choice([1, 2, 3, 7, 50]), rng.choice([1, 2, 100])
             weights = [5, 5, 1, 2] if trial % 2 else [20, 20, 1, 1]
             content = bytes(rng.choices(b"ab\r\n", weights=weights, k=rng.randrange(60)))
             offset, step = rng.randrange(len(content) + 1), rng.choice([1, 2, 5, 13, 100])
@@ -115,7 +115,7 @@ def test_ranges_of_random_bytes():
                     got += [(values[a:b].tobytes().decode(), int(e)) for a, b, e in zip(edges, edges[1:], after)]
             assert got == [x for x in zip(*expected(content)) if x[1] > offset], (content, offset, step)
     finally:
-        ranges.CHUNK_BYTES = before
+        ranges.CHUNK_BYTES, ranges.BEYOND_BYTES = before
 
 
 def test_lines_by_ranges_of_each_case(spark, folder, monkeypatch):
