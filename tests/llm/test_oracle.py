@@ -29,7 +29,7 @@ def test_query_equals_oracle(spark, name):
 
 
 def test_queries_are_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in queries.QUERIES}
     assert {*queries.QUERIES, "pipeline"} <= set(driver.queries())
 
 
