@@ -7,11 +7,13 @@ line. Empty lines are lines. A last line without a terminator is a line; an empt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.functions.joins import lookup_join
+from sluice.functions.joins import lookup_join, stored
 from sluice.functions.text import (
     LINE_END, byte_length, cuttable, piece_bytes, piece_text, with_running_total)
 
 BLOCK_LINES = 1 << 16
+# A task accumulates about so many lines.
+TASK_LINES = 500_000
 
 
 def split_lines(df: DataFrame, text_col: str, id_cols: list, keep_empty=True,
@@ -51,23 +53,25 @@ def line_offsets(lines: DataFrame, raw_length: str, file_cols: list, order: str
     A file may hold a third of all lines, so no window spans a file. Lines are totalled per
     (file, block) first, the totals are accumulated over the blocks of the file, and only the
     lines of one block are accumulated together. `block` must not decrease along `order`.
+    The totals, which are stored, also tell among how many tasks the lines are dealt, so that
+    no task grows with the table. First blocks of files start at 0 and are not looked up.
     """
     block = F.floor(F.col(order) / BLOCK_LINES) if block is None else block
     # As one struct the keys may hold nulls, and join and window share one shuffle.
     sized = lines.withColumn("_key", F.struct(*file_cols, block.alias("_block"))).withColumn(
-        "_bytes", byte_length(line_col) + 1)
+        "_bytes", byte_length(line_col) + 1).drop(*(c for c in file_cols if c != raw_length))
     earlier = Window.partitionBy(*[F.col(f"_key.{c}") for c in file_cols]).orderBy(
         "_key._block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = (
-        sized.groupBy("_key").agg(F.sum("_bytes").alias("_sum"))
-        .select("_key", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
-    )
+    totals = stored(sized.groupBy("_key").agg(F.sum("_bytes").alias("_sum"), F.count(F.lit(1)).alias("_n")))
+    bases = totals.select("_key", F.sum("_sum").over(earlier).alias("_base")).where("_base > 0")
+    n = totals.agg(F.sum("_n")).first()[0] or 0
+    tasks = max(lines.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_LINES))
     so_far = Window.partitionBy("_key").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        sized.join(bases, "_key")
+        lookup_join(sized.repartition(tasks, "_key"), stored(bases), "_key")
         .withColumn("end_offset", F.least(
-            F.col("_base") + F.sum("_bytes").over(so_far), F.col(raw_length)))
-        .drop("_key", "_bytes", "_base")
+            F.coalesce("_base", F.lit(0)) + F.sum("_bytes").over(so_far), F.col(raw_length)))
+        .select(*[F.col(f"_key.{c}") if c in file_cols else c for c in lines.columns], "end_offset")
     )
 
 

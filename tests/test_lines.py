@@ -121,6 +121,14 @@ def test_line_offsets_over_blocks(spark, block_lines):
     assert rows(got) == sorted(want, key=repr)
 
 
+def test_line_offsets_deals_many_lines_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr("sluice.operators.lines.TASK_LINES", 100)
+    lines = spark.range(5000).selectExpr("id % 700 AS f", "id DIV 700 AS pos", "'xy' AS line", "1000 AS size")
+    got = line_offsets(lines, "size", ["f"])
+    assert got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 500
+    assert got.where("end_offset <> 3 * (pos + 1)").isEmpty() and got.count() == 5000
+
+
 @pytest.mark.parametrize("limits", [{}, {"max_rows": 0}])
 def test_resume_lines(spark, limits):
     lines = spark.createDataFrame(
