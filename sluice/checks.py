@@ -292,7 +292,7 @@ def delete_in_tasks(spark, sf_dir):
                     open(path.removeprefix("file:"), "w").close()
             yield batch
 
-    made = docs.repartition(4).mapInArrow(prepare, "doc_id long, path string")
+    made = cleanup.dealt(docs).mapInArrow(prepare, "doc_id long, path string")
     outcomes = cleanup.delete_in_tasks(stored(made), folder, f"{folder}-outcomes")
     cleanup.delete_in_tasks(docs, folder, f"{folder}-outcomes")
     return docs.join(outcomes, "path").select("doc_id", F.when(

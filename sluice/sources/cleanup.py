@@ -16,6 +16,7 @@ from sluice.session import scratch_dir
 from sluice.sources.ranges import readable, store_of
 
 CHUNK = 1000
+TASK_FILES = 10_000
 # What need not be tried again.
 SETTLED = ("deleted", "absent", "not a file")
 
@@ -55,6 +56,12 @@ def _outside(paths: DataFrame, root: str) -> DataFrame:
     return paths.mapInArrow(outside, "path string")
 
 
+def dealt(paths: DataFrame) -> DataFrame:
+    """The rows dealt by `path`, at most about `TASK_FILES` to a task, so that no task grows with the table."""
+    tasks = max(4 * paths.sparkSession.sparkContext.defaultParallelism, -(-paths.count() // TASK_FILES))
+    return paths.repartition(tasks, "path")
+
+
 def delete_in_tasks(listing: DataFrame, root: str, outcomes: str) -> DataFrame:
     """Delete the listed files below `root` in tasks; returns (path, state), which is kept in the folder `outcomes`.
 
@@ -79,8 +86,7 @@ def delete_in_tasks(listing: DataFrame, root: str, outcomes: str) -> DataFrame:
     before = _outcomes(spark, outcomes, schema)
     left = paths if before is None else paths.join(
         before.where(F.col("state").isin(*SETTLED)).select("path"), "path", "left_anti")
-    tasks = 4 * spark.sparkContext.defaultParallelism
-    left.repartition(tasks, "path").mapInArrow(delete, schema).write.mode("append").parquet(outcomes)
+    dealt(stored(left)).mapInArrow(delete, schema).write.mode("append").parquet(outcomes)
     # A path that was tried again has several states; that of the last try comes last in this order.
     rank = F.when(F.col("state") == "deleted", 3).when(F.col("state").isin(*SETTLED), 2).otherwise(1)
     return _outcomes(spark, outcomes, schema).groupBy("path").agg(F.max_by("state", rank).alias("state"))

@@ -418,6 +418,16 @@ def test_deletion_outcomes(spark, folder, tmp_path, monkeypatch):
             cleanup.delete_in_tasks(paths, wrong, out)
 
 
+def test_deletion_deals_many_files_to_many_tasks(spark, folder, tmp_path, monkeypatch):
+    monkeypatch.setattr(cleanup, "TASK_FILES", 5)
+    root, out = folder({f"{n}.log": b"" for n in range(300)}), str(tmp_path / "outcomes")
+    paths = spark.range(300).selectExpr(f"concat('file:{root}/', id, '.log') AS path")
+    assert cleanup.delete_in_tasks(paths, root, out).where("state = 'deleted'").count() == 300
+    assert os.listdir(root) == []
+    assert len([n for n in os.listdir(out) if n.endswith(".parquet")]) > 30
+    assert cleanup.dealt(paths).select(F.spark_partition_id().alias("p")).distinct().count() > 30
+
+
 def test_inside():
     assert inside("file:/a/b/c.log", "/a/b")
     assert inside("file:/a/b/c#1?.log", "file:///a/b/")
