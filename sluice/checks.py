@@ -935,7 +935,7 @@ UNION ALL SELECT 'hosts', 'lines', 'characters', sum(length(data))::BIGINT FROM
 def folder_to_hosts(spark, sf_dir):
     """The same to remote hosts, one of them down and one busy at times; the sink skips blank lines by itself.
 
-    The clients keep what they accept as files, which are counted, too.
+    The clients keep what they accept, one file a connection, which are counted, too.
     """
     state = scratch_dir(spark, "flow")
     folder = f"{state}/received".removeprefix("file://")
@@ -944,18 +944,21 @@ def folder_to_hosts(spark, sf_dir):
         def __init__(self, host):
             if host == "down":
                 raise ConnectionError(host)
-            self.busy, self.sent = host == "busy", 0
+            self.busy, self.sent, self.out = host == "busy", 0, None
             os.makedirs(folder, exist_ok=True)
 
         def send(self, batch):
             self.sent += 1
             if self.busy and self.sent % 3 == 1:
                 return False
-            with open(f"{folder}/{uuid.uuid4().hex}.json", "w") as out:
-                out.writelines(json.dumps({"topic": topic, "data": data}) + "\n" for topic, data in batch)
+            if self.out is None:
+                self.out = open(f"{folder}/{uuid.uuid4().hex}.json", "w")
+            self.out.writelines(json.dumps({"topic": topic, "data": data}) + "\n" for topic, data in batch)
+            self.out.flush()
 
         def close(self):
-            pass
+            if self.out is not None:
+                self.out.close()
 
     source = FileSource(written_as_text(spark, sf_dir), "app", r"^.*\.txt$", max_files=4)
     options = EndpointOptions(("a", "busy", "down"), try_later_wait_ms=10)

@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from sluice import checks
 from sluice.operators.counters import reconcile
 from sluice.operators.deadletter import discard, load_letters
 from sluice.plans.flow import Pipeline, from_conf, live_rates, start_all
@@ -276,3 +277,11 @@ def test_one_listing_serves_all_groups(spark, folder, tmp_path, monkeypatch):
     monkeypatch.setattr(flow.source, "listing", lambda spark: listed.append(1) or listing(spark))
     assert flow.run_batch(spark)["read"] == 12 and len(listed) == 1
     assert flow.run_batch(spark)["read"] == 0 and len(listed) == 2
+
+
+def test_hosts_keep_one_file_a_connection(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(checks, "scratch_dir", lambda spark, label: str(tmp_path / label))
+    counts = {r["event"]: r["n"] for r in checks.folder_to_hosts(spark, "/root/testdata/sf0.01").collect()}
+    assert counts["received"] == counts["written"] > 4000
+    kept = os.listdir(tmp_path / "flow" / "received")
+    assert len(kept) < 20  # of more than 40 batches
