@@ -126,37 +126,40 @@ def _sets(texts, n):
             yield np.unique(pieces[a:b])
 
 
+def _lists(values):
+    ends = np.concatenate(([0], np.cumsum([len(v) for v in values])))
+    flat = np.concatenate(values).view(np.int64) if values else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
 def _signer(n, num, den):
-    plan = Plan(num, den)
     most = np.uint64(min(1.0, SAMPLE * (den - num) / den) * ((1 << 64) - 2048))
 
-    def lists(values):
-        ends = np.concatenate(([0], np.cumsum([len(v) for v in values])))
-        flat = np.concatenate(values).view(np.int64) if values else np.zeros(0, np.int64)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-
-    @F.arrow_udf(T.StructType().add("n", T.LongType()).add("set_id", T.LongType())
-                 .add("keys", T.ArrayType(T.LongType())).add("some", T.ArrayType(T.LongType())))
+    @F.arrow_udf(T.StructType().add("n", T.LongType()).add("set_id", T.LongType()).add("some", T.ArrayType(T.LongType())))
     def sign(texts: pa.Array) -> pa.Array:
-        sizes, ids, keys, some = [], [], [], []
+        sizes, ids, some = [], [], []
         for values in _sets(texts, n):
             sizes.append(len(values))
             ids.append(xxhash.xxh3_64_intdigest(values.tobytes()) - (1 << 63))
-            keys.append(plan.keys(values))
             some.append(values[:np.searchsorted(values, most)])
         return pa.StructArray.from_arrays(
-            [pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), lists(keys), lists(some)],
-            ["n", "set_id", "keys", "some"])
+            [pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), _lists(some)], ["n", "set_id", "some"])
     return sign
 
 
+def _key_reader(n, num, den):
+    plan = Plan(num, den)
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def read(texts: pa.Array) -> pa.Array:
+        return _lists([plan.keys(values) for values in _sets(texts, n)])
+    return read
+
+
 def _set_reader(n):
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def read(texts: pa.Array) -> pa.Array:
-        sets = list(_sets(texts, n))
-        ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))) if sets else [0]
-        flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+        return _lists(list(_sets(texts, n)))
     return read
 
 
@@ -204,8 +207,8 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col="d
 
 
 def _linked(docs, n, num, den, id_col, text_col):
-    with scratch_tables(docs.sparkSession):  # the keys of all documents, and of all sets, go as soon as shared ones are known
-        slim, classes, members = _indexed(docs, n, num, den, id_col, text_col)
+    slim, classes, able = _indexed(docs, n, num, den, id_col, text_col)
+    members = _members(docs, able, n, num, den, id_col, text_col)
     stars = stored(members.filter("a < b").select("a", "b").distinct())
     wanted = stars.select(F.col("a").alias("set_id")).union(stars.select("b")).distinct()
     sets = _elements(docs, classes, wanted, n, id_col, text_col)
@@ -236,24 +239,29 @@ def _linked(docs, n, num, den, id_col, text_col):
 
 
 def _indexed(docs, n, num, den, id_col, text_col):
-    """(doc_id, text_id, n, set_id) of all documents, the classes of equal sets, and (key, a, b): sets of keys with several; a is the smallest."""
-    signed = stored(docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_id"),
-        _signer(n, num, den)(text_col).alias("s")).select("doc_id", "text_id", "s.*"))
-    slim = stored(signed.select("doc_id", "text_id", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id")), keep=True)
-    full = signed.filter("n > 0")
-    classes = stored(slim.filter("n > 0").groupBy("set_id").agg(
-        F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_id")).alias("row"), F.max("n").alias("n")), keep=True)
-    own = full.select("set_id", F.explode("some").alias("e")).groupBy("e").agg(
-        F.min("set_id").alias("set_id"), F.max("set_id").alias("z")).filter("set_id = z")
-    own = own.groupBy("set_id").agg(F.count(F.lit(1)).alias("own"))
-    able = stored(classes.join(own, "set_id", "left").filter(
-        F.coalesce("own", F.lit(0)) * den <= F.col("n") * (den - num)).select("set_id", "row"))
-    once = full.select("set_id", F.struct("doc_id", "text_id").alias("row"), "keys")
-    once = lookup_join(once, able, ["set_id", "row"], "left_semi")
-    keys = once.select("set_id", F.explode("keys").alias("key"))
-    common = keys.groupBy("key").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).filter("a < z")
-    return slim, classes, stored(keys.join(common.select("key", "a"), "key").select("key", "a", F.col("set_id").alias("b")), keep=True)
+    """(doc_id, text_id, n, set_id) of all documents, the classes of equal sets, and a document of each set that can link."""
+    with scratch_tables(docs.sparkSession):  # the sample of all sets goes as soon as it is counted
+        signed = stored(docs.select(
+            F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_id"),
+            _signer(n, num, den)(text_col).alias("s")).select("doc_id", "text_id", "s.*"))
+        slim = stored(signed.select("doc_id", "text_id", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id")), keep=True)
+        classes = stored(slim.filter("n > 0").groupBy("set_id").agg(
+            F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_id")).alias("row"), F.max("n").alias("n")), keep=True)
+        own = signed.filter("n > 0").select("set_id", F.explode("some").alias("e")).groupBy("e").agg(
+            F.min("set_id").alias("set_id"), F.max("set_id").alias("z")).filter("set_id = z")
+        own = own.groupBy("set_id").agg(F.count(F.lit(1)).alias("own"))
+        able = stored(classes.join(own, "set_id", "left").filter(
+            F.coalesce("own", F.lit(0)) * den <= F.col("n") * (den - num)).select("set_id", "row"), keep=True)
+    return slim, classes, able
+
+
+def _members(docs, able, n, num, den, id_col, text_col):
+    """(key, a, b): sets of keys with several; a is the smallest. Keys are made for sets that can link only, from texts that are read again."""
+    with scratch_tables(docs.sparkSession):
+        once = stored(_texts_of(docs, able, id_col, text_col).select("set_id", _key_reader(n, num, den)("_text").alias("keys")))
+        keys = once.select("set_id", F.explode("keys").alias("key"))
+        common = keys.groupBy("key").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).filter("a < z")
+        return stored(keys.join(common.select("key", "a"), "key").select("key", "a", F.col("set_id").alias("b")), keep=True)
 
 
 def _near_sizes(pairs, classes, num, den):
@@ -263,13 +271,17 @@ def _near_sizes(pairs, classes, num, den):
     return sized.filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b")
 
 
-def _elements(docs, classes, wanted, n, id_col, text_col):
-    """(set_id, elements) of the wanted classes, read again from one document of each."""
-    picked = stored(classes.join(wanted, "set_id").select(
-        "set_id", F.coalesce("row.doc_id", F.lit(0)).alias("_id"), F.col("row.text_id").alias("_tid")))
+def _texts_of(docs, rows, id_col, text_col):
+    """(set_id, _text) of the document `row` of each set."""
+    picked = rows.select("set_id", F.coalesce("row.doc_id", F.lit(0)).alias("_id"), F.col("row.text_id").alias("_tid"))
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_id"),
                         F.xxhash64(text_col).alias("_tid"), F.col(text_col).alias("_text"))
-    found = lookup_join(texts, picked, ["_id", "_tid"], "inner")
+    return lookup_join(texts, picked, ["_id", "_tid"], "inner").select("set_id", "_text")
+
+
+def _elements(docs, classes, wanted, n, id_col, text_col):
+    """(set_id, elements) of the wanted classes, read again from one document of each."""
+    found = _texts_of(docs, stored(classes.join(wanted, "set_id")), id_col, text_col)
     return stored(found.select("set_id", _set_reader(n)("_text").alias("elements")))
 
 

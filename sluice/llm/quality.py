@@ -7,12 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F, types as T
 
-from sluice.functions.joins import stored
+from sluice.functions.joins import lookup_join, scratch_tables, stored
 from sluice.llm import words as W
 from sluice.llm.shared import Shared
 
 SHRINKAGE = 0.1
 RIDGE = 0.02
+BATCH_BYTES = 8 << 20
 FEATURES = ("log_words", "log_bytes", "word_length", "word_spread", "upper", "digit", "stop", "comma", "bang",
             "bar", "symbol", "space", "line", "high", "distinct", "echo", "repeated", "log_line_words")
 _N = len(FEATURES)
@@ -169,3 +170,17 @@ def classify_slim(docs: DataFrame, labels: DataFrame, learn, keep: list, id_col=
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("label")).filter("label IN (0, 1)")
     stats = rows.filter("_learn").select(F.col(id_col).alias("_id"), F.col("_stats").alias("stats"))
     return scored(rows, fit(stats.join(known, "_id")), "_stats").select(*keep, "score")
+
+
+def without_rejected(docs: DataFrame, labels: DataFrame, learn, least: float, id_col="doc_id", label_col="quality",
+                     text_col="text") -> DataFrame:
+    """`docs` without the rows that `classify` scores below `least`.
+
+    Statistics are made once, of small batches of texts, and stored without the texts. Equal texts have equal scores, so
+    rows go by the hash of their text. Texts are not shuffled unless very many are rejected.
+    """
+    tid = F.xxhash64(text_col).alias("_tid")
+    with W.small_batches(docs.sparkSession, size=BATCH_BYTES), scratch_tables(docs.sparkSession):
+        low = classify_slim(docs.withColumn("_tid", tid), labels, learn, ["_tid"], id_col, label_col, text_col)
+        low = stored(low.filter(~(F.col("score") >= least)).select("_tid").distinct(), keep=True)
+    return lookup_join(docs.withColumn("_tid", tid), low, "_tid", "left_anti").select(*docs.columns)

@@ -126,6 +126,23 @@ def test_jaccard_join_is_exact(spark, n, num, den):
     assert ids.count(1) == 1 and 3 in ids and 4 in ids and 5 in ids and ids.count(None) == 1
 
 
+def test_keys_are_made_for_sets_that_can_link_only(spark, monkeypatch):
+    """300 texts without a partner and two with one; keys of all sets were on disk before."""
+    near = prose(5, 200)
+    docs = spark.createDataFrame([(i, prose(1000 + i, 80)) for i in range(300)] + [(400, near), (401, near + " end")], "doc_id long, text string")
+    held, store = [], jaccard.stored
+
+    def counting(df, **options):
+        out = store(df, **options)
+        if "keys" in out.columns:
+            held.append(out.count())
+        return out
+    monkeypatch.setattr(jaccard, "stored", counting)
+    groups = {r["doc_id"]: r["component_id"] for r in jaccard.linked(docs).collect()}
+    assert groups == {**{i: i for i in range(300)}, 400: 400, 401: 400}
+    assert 2 <= sum(held) < 60
+
+
 def test_blocks_of_one_bundle_find_the_same_links(spark, monkeypatch):
     rows = [(i, " ".join(f"t{k}" for k in range(40) if k != i)) for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -4,8 +4,9 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from sluice.llm import decontaminate, mixing, quality, queries, tokens, topk, toxicity, urls
 from sluice.llm.graph import components
@@ -307,3 +308,25 @@ def test_components(spark):
 def test_results_hold_plain_columns(spark):
     shown = {f.name: f.dataType.simpleString() for f in queries.op7_top_k(spark, SMALL).schema.fields}
     assert json.dumps(shown) == json.dumps({"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"})
+
+
+def test_rejected_texts_go_and_python_takes_small_batches(spark, monkeypatch):
+    """As the filter on `classify`, with nulls and repeated rows; statistics are made of at most 500 texts at once."""
+    docs = odd_documents(spark, [(100 + i, prose(i, 5 + i % 40) if i % 3 else "!| 77 " * i, "en", "z") for i in range(1200)]).coalesce(1)
+    labels = spark.createDataFrame([(100 + i, int(i % 3 > 0)) for i in range(0, 1200, 2)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    scored = quality.classify(docs, labels, F.lit(True), score_col="_score")
+    for least in (0.1, 0.5):
+        want = sorted(map(repr, scored.filter(F.col("_score") >= least).select(*docs.columns).collect()))
+        found = sorted(map(repr, quality.without_rejected(docs, labels, F.lit(True), least).collect()))
+        assert found == want
+    assert 0 < len(want) < docs.count()
+
+    width = len(quality.FEATURES)
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def strict(texts):
+        if len(texts) > 500:
+            raise ValueError(f"{len(texts)} texts")
+        return pa.array([[0.0] * width] * len(texts), pa.list_(pa.float64()))
+    monkeypatch.setattr(quality, "document_statistics", strict)
+    assert quality.without_rejected(docs, labels, F.lit(True), 2.0).count() == 0
